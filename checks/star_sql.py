@@ -188,23 +188,84 @@ DQ = " UNION ALL ".join(
 )
 
 
+# The constants of the public murmur3 32-bit hash.
+MURMUR_SEED = 42
+MURMUR_C1, MURMUR_C2 = 0xCC9E2D51, 0x1B873593
+MURMUR_ADD = 0xE6546B64
+MURMUR_FINAL1, MURMUR_FINAL2 = 0x85EBCA6B, 0xC2B2AE35
+WORD = 0xFFFFFFFF
+
+
+def word(number: int | str) -> str:
+    return f"CAST({number} AS UBIGINT)"
+
+
+def times(x: str, factor: int) -> str:
+    return f"(({x} * {word(factor)}) & {word(WORD)})"
+
+
+def rotated(x: str, bits: int) -> str:
+    return f"((({x} << {bits}) | ({x} >> {32 - bits})) & {word(WORD)})"
+
+
+def hash_steps(names: list[str]) -> list[str]:
+    """CTEs that hash (0, draw number, k) as 32-bit words, one column per draw.
+
+    A step per CTE: mix in the two numbers, then the low and high half of
+    ``k``, then finish with the length of the last value.
+    """
+    key_halves = [("low", f"k & {WORD}"), ("high", f"(k >> 32) & {WORD}")]
+    words = [("zero", "0"), *((f"n_{n}", str(i)) for i, n in enumerate(names)), *key_halves]
+    scaled = ", ".join(f"{times(word(w), MURMUR_C1)} AS {n}" for n, w in words)
+    mixed = ", ".join(f"{times(rotated(n, 15), MURMUR_C2)} AS {n}" for n, _ in words)
+    steps = [
+        "keyed AS (SELECT l_orderkey * 31 + l_linenumber * 17 + l_partkey * 13"
+        " + l_suppkey * 7 AS k FROM lineitem)",
+        f"scaled AS (SELECT {scaled} FROM keyed)",
+        f"mixed AS (SELECT *, {word(MURMUR_SEED)} AS start FROM (SELECT {mixed} FROM scaled))",
+    ]
+
+    def step(label: str, columns: dict[str, str]) -> None:
+        source = steps[-1].split(" ", 1)[0]
+        listed = ", ".join(f"{x} AS {n}" for n, x in columns.items())
+        steps.append(f"{label} AS (SELECT * REPLACE ({listed}) FROM {source})")
+
+    def stir(label: str, before: dict[str, str], by: dict[str, str]) -> None:
+        step(label + "x", {n: f"xor({before[n]}, {by[n]})" for n in by})
+        step(
+            label,
+            {
+                n: f"(({rotated(n, 13)} * {word(5)} + {word(MURMUR_ADD)}) & {word(WORD)})"
+                for n in by
+            },
+        )
+
+    def finish(label: str, columns: list[str], length: int) -> None:
+        step(label + "0", {n: f"xor({n}, {word(length)})" for n in columns})
+        step(label + "1", {n: times(f"xor({n}, {n} >> 16)", MURMUR_FINAL1) for n in columns})
+        step(label + "2", {n: times(f"xor({n}, {n} >> 13)", MURMUR_FINAL2) for n in columns})
+        step(label + "3", {n: f"xor({n}, {n} >> 16)" for n in columns})
+
+    draws = [f"n_{n}" for n in names]
+    stir("first", {"start": "start"}, {"start": "zero"})
+    finish("firstend", ["start"], 4)
+    stir("second", dict.fromkeys(draws, "start"), {n: n for n in draws})
+    finish("secondend", draws, 4)
+    stir("third", {n: n for n in draws}, dict.fromkeys(draws, "low"))
+    stir("fourth", {n: n for n in draws}, dict.fromkeys(draws, "high"))
+    finish("fourthend", draws, 8)
+    return steps
+
+
 def synth() -> str:
-    """The generator: 32-bit draws from hex digits of md5 over seed, block and key."""
+    """The generator: its draws are murmur3 hashes of seed 0, draw number and row key."""
     names = (
         "id_high id_low order_date ship_lag customer age_kind age gender category "
         "price_kind price quantity_kind quantity discount_kind discount place product "
         "payment status"
     ).split()
-    digests = ", ".join(
-        f"md5('0:{b}:' || (l_orderkey * 31 + l_linenumber * 17 + l_partkey * 13"
-        f" + l_suppkey * 7)) AS digest{b}"
-        for b in range(5)
-    )
-    draws = ", ".join(
-        f"CAST('0x' || substr(digest{i // 4}, {i % 4 * 8 + 1}, 8) AS BIGINT) AS d_{n}"
-        for i, n in enumerate(names)
-        if n not in ("id_high", "id_low")
-    )
+    steps = ",\n".join(hash_steps(names))
+    draws = ", ".join(f"CAST(n_{n} AS BIGINT) AS d_{n}" for n in names)
 
     def pick(draw: str, values: list[str]) -> str:
         whens = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
@@ -222,15 +283,14 @@ def synth() -> str:
     )
     states = text("NY", "CA", "IL", "TX", "AZ", "PA", "TX", "CA", "TX", "CA")
     return f"""
-WITH digests AS (SELECT {digests} FROM lineitem),
-draws AS (
-  SELECT {draws}, CAST('0x' || substr(digest0, 1, 15) AS BIGINT) AS d_id FROM digests
-),
+WITH {steps},
+draws AS (SELECT {draws} FROM fourthend3),
 dated AS (
   SELECT *, DATE '2023-01-01' + CAST(d_order_date % 1097 AS INTEGER) AS day FROM draws
 )
 SELECT
-  CAST(d_id % (SELECT count(*) // 2 FROM lineitem) + 1 AS VARCHAR) AS transaction_id,
+  CAST((d_id_high % 1073741824 * 4294967296 + d_id_low)
+    % (SELECT count(*) // 2 FROM lineitem) + 1 AS VARCHAR) AS transaction_id,
   day AS order_date,
   day + CAST(d_ship_lag % 14 - 3 AS INTEGER) AS ship_date,
   'CUST' || (d_customer % 200000 + 1) AS customer_id,

@@ -9,32 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DRAWS_PER_DIGEST = 4
-HEX_PER_DRAW = 8
 DRAW_SPAN = 2**32
 
 
-def digest(key: str, seed: int, block: int) -> Column:
-    """128 pseudo-random bits, as 32 hex digits, for draws ``4*block .. 4*block+3``."""
-    return F.md5(
-        F.concat_ws(":", F.lit(str(seed)), F.lit(str(block)), F.col(key).cast("string"))
-    )
+def draw(key: str, seed: int, number: int) -> Column:
+    """32 pseudo-random bits as a bigint in ``0 .. 2**32 - 1``."""
+    hashed = F.hash(F.lit(seed), F.lit(number), F.col(key).cast("bigint"))
+    return hashed.cast("bigint").bitwiseAND(F.lit(DRAW_SPAN - 1))
 
 
-def draw(digest_of: Column, slot: int) -> Column:
-    """The 32-bit draw in one of the four slots of a digest, as bigint."""
-    digits = F.substring(digest_of, slot * HEX_PER_DRAW + 1, HEX_PER_DRAW)
-    return F.conv(digits, 16, 10).cast("bigint")
-
-
-def wide_draw(digest_of: Column) -> Column:
-    """A 60-bit draw from the first half of a digest; takes up slots 0 and 1."""
-    return F.conv(F.substring(digest_of, 1, 15), 16, 10).cast("bigint")
-
-
-def below(drawn: Column, n) -> Column:
-    """Uniform integer in ``0 .. n-1``."""
-    return drawn % n
+def wide(high: Column, low: Column) -> Column:
+    """Two draws as one of 62 bits, for ranges beyond four billion."""
+    return (high % (DRAW_SPAN // 4)) * DRAW_SPAN + low
 
 
 def between(drawn: Column, low: int, high: int) -> Column:

@@ -12,16 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.functions.draws import (
-    DRAW_SPAN,
-    DRAWS_PER_DIGEST,
-    below,
-    between,
-    digest,
-    draw,
-    pick,
-    wide_draw,
-)
+from tallymart.functions.draws import DRAW_SPAN, between, draw, pick, wide
 from tallymart.schema import RAW_SCHEMA
 
 # The generated feed's places, price ranges, labels and date range.
@@ -52,7 +43,7 @@ LAST_DAY = dt.date(2026, 1, 1)
 CUSTOMERS = 200_000
 PRODUCTS = 50_000
 
-# Draws a row needs, in slot order; the first two slots hold the id's wide draw.
+# The draws of a row; a draw's number is its position.
 DRAWS = (
     "id_high",
     "id_low",
@@ -95,15 +86,10 @@ def dirty_sales(
     keys: DataFrame, key: str, ids: Column, ingestion_date: dt.date, seed: int = 0
 ) -> DataFrame:
     """One dirty sales row per row of ``keys``, with transaction ids ``1 .. ids``."""
-    blocks = -(-len(DRAWS) // DRAWS_PER_DIGEST)
     drawn = keys.select(
-        *[digest(key, seed, block).alias(f"digest{block}") for block in range(blocks)]
+        *[draw(key, seed, number).alias(name) for number, name in enumerate(DRAWS)]
     )
-
-    def d(name: str) -> Column:
-        block, slot = divmod(DRAWS.index(name), DRAWS_PER_DIGEST)
-        return draw(F.col(f"digest{block}"), slot)
-
+    d = F.col
     categories = list(CATEGORY_PRICES)
     lows = [low * 100 for low, _ in CATEGORY_PRICES.values()]
     cents = [(high - low) * 100 + 1 for low, high in CATEGORY_PRICES.values()]
@@ -115,7 +101,7 @@ def dirty_sales(
         between(d("order_date"), 0, (LAST_DAY - FIRST_DAY).days).cast("int"),
     )
     columns = {
-        "transaction_id": (below(wide_draw(F.col("digest0")), ids) + 1).cast("string"),
+        "transaction_id": (wide(d("id_high"), d("id_low")) % ids + 1).cast("string"),
         "order_date": order_date,
         "ship_date": F.date_add(order_date, between(d("ship_lag"), -3, 10).cast("int")),
         "customer_id": _numbered("CUST", d("customer"), CUSTOMERS),

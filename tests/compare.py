@@ -26,7 +26,7 @@ def _plain(kind: pa.DataType) -> str:
 def assert_same(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> int:
     """Same columns and types, and the same rows value by value; returns their number."""
     got = df.toArrow()
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     names = sorted(got.column_names)
     assert names == sorted(want.column_names)
     got, want = got.select(names), want.select(names)

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, by value, at two sizes."""
+"""Every registered query against its SQL, by value."""
 
 from __future__ import annotations
 
@@ -8,22 +8,17 @@ import __spark_entry__ as registry
 from tests.compare import assert_same, duck
 from tests.conftest import TESTDATA
 
-SIZES = ["sf0.001", "sf0.01"]
-
-
-@pytest.fixture(scope="module", params=SIZES)
-def folder(request):
-    return TESTDATA / request.param
+FOLDER = TESTDATA / "sf0.01"
 
 
 @pytest.fixture(scope="module")
-def con(folder):
-    return duck(folder)
+def con():
+    return duck(FOLDER)
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
-def test_matches_sql(spark, folder, con, name):
-    df = registry.queries()[name](spark, str(folder))
+def test_matches_sql(spark, con, name):
+    df = registry.queries()[name](spark, str(FOLDER))
     assert assert_same(df, con, registry.oracle_sql()[name]) > 0
 
 
