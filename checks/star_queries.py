@@ -13,7 +13,7 @@ from tallymart.operators import marts, rollups
 from tallymart.operators.dedup import dedup, duplicate_keys
 from tallymart.operators.rules import SALES_RULES, apply_rules, dq_report, rule
 from tallymart.plans.pipeline import Layout, run_pipeline
-from tallymart.plans.silver import clean
+from tallymart.plans.silver import DROPPED, clean, surviving_copies
 from tallymart.schema import (
     BUSINESS_KEY,
     CATEGORY_SCHEMA,
@@ -63,10 +63,10 @@ def layer_row_counts(spark: SparkSession, folder: str) -> DataFrame:
     feed = star_feed(spark, folder)
     delivered = feed.agg(F.count(F.lit(1))).scalar()
     return (
-        dedup(feed, BUSINESS_KEY, LINE_ORDER)
+        surviving_copies(feed, LINE_ORDER)
         .agg(
             F.count(F.lit(1)).alias("deduplicated_rows"),
-            F.count_if(~rule("quantity").violated()).alias("silver_rows"),
+            F.count_if(~F.col(DROPPED)).alias("silver_rows"),
         )
         .withColumn("bronze_rows", delivered)
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +87,12 @@ def rule(name: str, rules: Sequence[Rule] = SALES_RULES) -> Rule:
     return next(r for r in rules if r.name == name)
 
 
+def dropped_by(rules: Sequence[Rule]) -> Column:
+    """Whether any of the rules drops the row; true or false, never null."""
+    drops = [r.violated() for r in rules if r.action == DROP_ROW]
+    return reduce(or_, drops, F.lit(False))
+
+
 def apply_rules(df: DataFrame, rules: Sequence[Rule] = SALES_RULES) -> DataFrame:
     """Drop the rows and change the values the rules name, in one narrow step.
 
@@ -94,10 +102,10 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule] = SALES_RULES) -> DataFrame
     columns = [r.column for r in rules if r.action != DROP_ROW]
     if len(columns) != len(set(columns)):
         raise ValueError(f"more than one rule changes the same column: {columns}")
-    for r in rules:
-        if r.action == DROP_ROW:
-            df = df.where(~r.violated())
-    return df.withColumns({r.column: r.cleaned() for r in rules if r.action != DROP_ROW})
+    if any(r.action == DROP_ROW for r in rules):
+        df = df.where(~dropped_by(rules))
+    cleaned = {r.column: r.cleaned() for r in rules if r.action != DROP_ROW}
+    return df.withColumns(cleaned) if cleaned else df
 
 
 def dq_report(df: DataFrame, key: str, rules: Sequence[Rule] = SALES_RULES) -> DataFrame:

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions import money
 from tallymart.operators import marts
-from tallymart.operators.dedup import dedup
-from tallymart.operators.rules import SALES_RULES, apply_rules
+from tallymart.plans.silver import finish, surviving_copies
 from tallymart.plans.sizing import sized_for
 from tallymart.schema import BUSINESS_KEY, RAW_SCHEMA
 from tallymart.sources.csv_feed import read_raw_csv
@@ -95,11 +94,11 @@ def run_silver(
     assert_apart([input], [output])
     with sized_for(spark, input):
         bronze = read_layer(spark, input, RAW_SCHEMA)
-        survivors = dedup(bronze, BUSINESS_KEY, order_by)
+        survivors = surviving_copies(bronze, order_by)
         if files is not None:
             survivors = survivors.repartition(files, BUSINESS_KEY)
         survivors, kept = _counted(survivors, "deduplicated")
-        silver, cleaned = _counted(apply_rules(survivors, SALES_RULES), "silver")
+        silver, cleaned = _counted(finish(survivors), "silver")
         write_layer(silver, output)
     return {"deduplicated": kept.get["rows"], "silver": cleaned.get["rows"]}
 

@@ -1,15 +1,58 @@
-"""The cleaning plan: deduplicate first, then apply the rules."""
+"""The cleaning plan: deduplicate first, then apply the rules.
+
+The order is part of the result: a transaction whose surviving copy has no
+positive quantity disappears even if another copy had one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallymart.operators.dedup import dedup
-from tallymart.operators.rules import SALES_RULES, Rule, apply_rules
+from tallymart.operators.rules import (
+    DROP_ROW,
+    SALES_RULES,
+    Rule,
+    apply_rules,
+    dropped_by,
+)
 from tallymart.schema import BUSINESS_KEY, RAW_COLUMNS
 
+DROPPED = "_dropped"
+
+
+def surviving_copies(
+    bronze: DataFrame,
+    order_by: Sequence[str] | None = None,
+    rules: Sequence[Rule] = SALES_RULES,
+) -> DataFrame:
+    """One row per transaction, flagged where a rule is going to drop it.
+
+    A row to be dropped still competes with its copies, but only with its key
+    and the ``order_by`` columns: the rest is nulled before the shuffle, which
+    at full size is the one large transfer of the whole pipeline.
+    """
+    ordering = list(order_by or bronze.columns)
+    carried = {BUSINESS_KEY, *ordering}
+    flagged = bronze.withColumn(DROPPED, dropped_by(rules))
+    light = flagged.select(
+        *[
+            F.col(c) if c in carried else F.when(~F.col(DROPPED), F.col(c)).alias(c)
+            for c in bronze.columns
+        ],
+        DROPPED,
+    )
+    return dedup(light, BUSINESS_KEY, ordering)
+
+
+def finish(survivors: DataFrame, rules: Sequence[Rule] = SALES_RULES) -> DataFrame:
+    """Silver rows of ``surviving_copies``: flagged rows gone, bad values replaced."""
+    kept = survivors.where(~F.col(DROPPED)).select(*RAW_COLUMNS)
+    return apply_rules(kept, [r for r in rules if r.action != DROP_ROW])
+
 
 def clean(
     bronze: DataFrame,
@@ -18,9 +61,7 @@ def clean(
 ) -> DataFrame:
     """Silver rows of a bronze table.
 
-    The order is part of the result: a transaction whose surviving copy has no
-    positive quantity disappears even if another copy had one. Extra columns
-    of ``bronze`` may take part in ``order_by`` and are then dropped.
+    Extra columns of ``bronze`` may take part in ``order_by`` and are then
+    gone. ``order_by`` defaults to all columns, see ``dedup``.
     """
-    survivors = dedup(bronze, BUSINESS_KEY, order_by).select(*RAW_COLUMNS)
-    return apply_rules(survivors, rules)
+    return finish(surviving_copies(bronze, order_by, rules), rules)
