@@ -13,7 +13,7 @@ from tallymart.operators import marts, rollups
 from tallymart.operators.dedup import dedup, duplicate_keys
 from tallymart.operators.rules import SALES_RULES, apply_rules, dq_report, rule
 from tallymart.plans.pipeline import Layout, run_pipeline
-from tallymart.plans.silver import DROPPED, clean, surviving_copies
+from tallymart.plans.silver import clean, layer_counts
 from tallymart.schema import (
     BUSINESS_KEY,
     CATEGORY_SCHEMA,
@@ -60,16 +60,7 @@ def bronze_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 def layer_row_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Rows as delivered, after deduplication and after all rules."""
-    feed = star_feed(spark, folder)
-    delivered = feed.agg(F.count(F.lit(1))).scalar()
-    return (
-        surviving_copies(feed, LINE_ORDER)
-        .agg(
-            F.count(F.lit(1)).alias("deduplicated_rows"),
-            F.count_if(~F.col(DROPPED)).alias("silver_rows"),
-        )
-        .withColumn("bronze_rows", delivered)
-    )
+    return layer_counts(star_feed(spark, folder), LINE_ORDER)
 
 
 def pipeline_end_to_end(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +68,7 @@ def pipeline_end_to_end(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch_path(spark, "pipeline")
     layout = Layout.under(root, raw=f"{root}/raw")
     write_raw_csv(_bronze(spark, folder), layout.raw)
-    run_pipeline(spark, layout, bronze_files=24, silver_files=8)
+    run_pipeline(spark, layout, bronze_files=24, silver_files=8, order_by=RAW_COLUMNS)
     daily = read_layer(spark, layout.daily, DAILY_SCHEMA).select(
         F.lit("daily").alias("mart"),
         F.col("order_date").cast("string").alias("group_key"),

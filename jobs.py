@@ -38,7 +38,6 @@ def parser() -> argparse.ArgumentParser:
         job.add_argument("--input", required=True)
         job.add_argument("--output", required=True)
         job.add_argument("--files", type=int, help="number of output files")
-    silver.add_argument("--order-by", nargs="+", help="columns that pick the copy to keep")
 
     gold = jobs.add_parser("gold", help="silver to the sales cube and the three marts")
     gold.add_argument("--input", required=True)
@@ -52,6 +51,8 @@ def parser() -> argparse.ArgumentParser:
     pipeline.add_argument("--raw", help="raw CSV, if not in its usual place under root")
     pipeline.add_argument("--bronze-files", type=int)
     pipeline.add_argument("--silver-files", type=int)
+    for job in (silver, pipeline):
+        job.add_argument("--order-by", nargs="+", help="columns that pick the copy to keep")
     for job in (gold, pipeline):
         job.add_argument("--mode", choices=[EXACT, FLOAT], default=EXACT)
 
@@ -89,7 +90,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, int] | None:
         )
     if args.job == "pipeline":
         layout = Layout.under(args.root, args.raw)
-        return run_pipeline(spark, layout, args.bronze_files, args.silver_files, args.mode)
+        return run_pipeline(
+            spark, layout, args.bronze_files, args.silver_files, args.mode, args.order_by
+        )
     sales = synth_sales(spark, args.rows, args.ingestion_date, args.seed)
     write_raw_csv(sales, args.output)
     return {"rows": args.rows}

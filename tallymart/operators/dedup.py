@@ -4,29 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FINGERPRINT = ("_fingerprint_1", "_fingerprint_2")
+
+
+def _fingerprint(columns: Sequence[str]) -> dict[str, Column]:
+    """128 bits that depend on every value of a row and on which values are null."""
+    nulls = F.array(*[F.isnull(c) for c in columns])
+    return {
+        name: F.xxhash64(F.lit(i), nulls, *columns) for i, name in enumerate(FINGERPRINT)
+    }
+
+
+def with_order(
+    df: DataFrame, key: str, order_by: Sequence[str] | None = None
+) -> tuple[DataFrame, list[str]]:
+    """The columns that decide between copies of a key, added to ``df`` where needed.
+
+    Without ``order_by`` the copy with the smallest fingerprint of its content
+    is kept. That choice favours no value of any column, as an order by the
+    columns themselves would (by date, say, it would keep the earliest order
+    and shift every monthly figure), yet it is the same on every run.
+    """
+    if order_by:
+        return df, [c for c in order_by if c != key]
+    others = [c for c in df.columns if c != key]
+    return df.withColumns(_fingerprint(others)), list(FINGERPRINT)
+
 
 def dedup(df: DataFrame, key: str, order_by: Sequence[str] | None = None) -> DataFrame:
     """Keep the first row of every ``key`` under ``order_by``, ascending, nulls first.
 
-    ``order_by`` defaults to all other columns in order, under which only
-    identical rows tie; the survivor is then the same however the input is
-    partitioned. A narrow unique order is cheaper: only the columns it names
-    have to be read and shuffled when the caller selects few columns.
+    See ``with_order`` for the default. ``order_by`` should leave no ties
+    between differing rows; then the result does not depend on how the input
+    is partitioned, nor on tasks that run again.
 
     Rows with a null key count as copies of each other and one survives.
 
     Spark keeps one row per key and map task before the shuffle, so a key
     holding a large part of all rows costs no more than any other.
     """
-    ordering = [c for c in (order_by or df.columns) if c != key]
+    ordered, ordering = with_order(df, key, order_by)
     copies = Window.partitionBy(key).orderBy(*[F.asc_nulls_first(c) for c in ordering])
     return (
-        df.withColumn("_copy", F.row_number().over(copies))
+        ordered.withColumn("_copy", F.row_number().over(copies))
         .where("_copy = 1")
-        .drop("_copy")
+        .select(*df.columns)
     )
 
 

@@ -135,10 +135,11 @@ def run_pipeline(
     bronze_files: int | None = None,
     silver_files: int | None = None,
     mode: str = money.EXACT,
+    order_by: Sequence[str] | None = None,
 ) -> dict[str, int]:
     """All three stages in order; an error in one keeps the next from starting."""
     counts = run_bronze(spark, layout.raw, layout.bronze, bronze_files)
-    counts |= run_silver(spark, layout.bronze, layout.silver, silver_files)
+    counts |= run_silver(spark, layout.bronze, layout.silver, silver_files, order_by)
     run_gold(
         spark,
         layout.silver,

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.operators.dedup import dedup
+from tallymart.operators.dedup import dedup, with_order
 from tallymart.operators.rules import (
     DROP_ROW,
     SALES_RULES,
@@ -32,20 +32,45 @@ def surviving_copies(
     """One row per transaction, flagged where a rule is going to drop it.
 
     A row to be dropped still competes with its copies, but only with its key
-    and the ``order_by`` columns: the rest is nulled before the shuffle, which
+    and the columns that decide: the rest is nulled before the shuffle, which
     at full size is the one large transfer of the whole pipeline.
     """
-    ordering = list(order_by or bronze.columns)
-    carried = {BUSINESS_KEY, *ordering}
-    flagged = bronze.withColumn(DROPPED, dropped_by(rules))
+    ordered, ordering = with_order(bronze, BUSINESS_KEY, order_by)
+    flagged = ordered.withColumn(DROPPED, dropped_by(rules))
+    carried = {BUSINESS_KEY, DROPPED, *ordering}
     light = flagged.select(
         *[
             F.col(c) if c in carried else F.when(~F.col(DROPPED), F.col(c)).alias(c)
-            for c in bronze.columns
-        ],
-        DROPPED,
+            for c in flagged.columns
+        ]
+    )
+    return dedup(light, BUSINESS_KEY, ordering).select(*bronze.columns, DROPPED)
+
+
+def layer_counts(
+    bronze: DataFrame,
+    order_by: Sequence[str] | None = None,
+    rules: Sequence[Rule] = SALES_RULES,
+) -> DataFrame:
+    """Rows as delivered, after deduplication and after all rules, in one pass.
+
+    Per transaction only the number of copies and the fate of the surviving
+    one are kept, combined per map task before the shuffle.
+    """
+    ordered, ordering = with_order(bronze, BUSINESS_KEY, order_by)
+    per_key = (
+        ordered.withColumn(DROPPED, dropped_by(rules))
+        .groupBy(BUSINESS_KEY)
+        .agg(
+            F.count(F.lit(1)).alias("copies"),
+            F.min_by(DROPPED, F.struct(*ordering)).alias(DROPPED),
+        )
+    )
+    return per_key.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("bronze_rows"),
+        F.count(F.lit(1)).alias("deduplicated_rows"),
+        F.count_if(~F.col(DROPPED)).alias("silver_rows"),
     )
-    return dedup(light, BUSINESS_KEY, ordering)
 
 
 def finish(survivors: DataFrame, rules: Sequence[Rule] = SALES_RULES) -> DataFrame:
@@ -62,6 +87,6 @@ def clean(
     """Silver rows of a bronze table.
 
     Extra columns of ``bronze`` may take part in ``order_by`` and are then
-    gone. ``order_by`` defaults to all columns, see ``dedup``.
+    gone; see ``with_order`` for its default.
     """
     return finish(surviving_copies(bronze, order_by, rules), rules)

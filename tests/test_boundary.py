@@ -39,7 +39,7 @@ def bronze(session, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def silver(bronze):
-    return with_total_amount(clean(bronze))
+    return with_total_amount(clean(bronze, rows.ORDER))
 
 
 def same(got, want):
@@ -149,7 +149,7 @@ def test_amounts_round_half_up_and_survive_absurd_prices(session):
 
 
 def test_float_mode_keeps_nan_in_the_sums(session, bronze):
-    silver = with_total_amount(clean(bronze), "float")
+    silver = with_total_amount(clean(bronze, rows.ORDER), "float")
     nan_row = silver.withColumn("discount_pct", F.lit(0.0).cast("float"))
     nan_row = with_total_amount(nan_row.drop("total_amount"), "float")
     got = {r[0]: r[1] for r in daily_mart(facts(nan_row, "order_date")).collect()}

@@ -15,7 +15,8 @@ from tallymart import synth_sales, with_total_amount
 from tallymart.functions.money import rounded_average
 from tallymart.functions.ranking import with_rank_desc
 from tallymart.operators import rollups
-from tallymart.plans.silver import surviving_copies
+from tallymart.operators.dedup import FINGERPRINT, with_order
+from tallymart.plans.silver import layer_counts, surviving_copies
 
 MEASURES = ["amount", "priced_orders", "orders", "units"]
 
@@ -136,8 +137,13 @@ def test_dedup_against_brute_force(spark, data):
     df = spark.createDataFrame(data, "id string, a int, b int").repartition(4)
     rows = [dict(zip(("id", "a", "b"), r)) for r in data]
     want = {k: (v["a"], v["b"]) for k, v in first_copies(rows, ["a", "b"]).items()}
-    got = [(r.id, (r.a, r.b)) for r in dedup(df, "id").collect()]
+    got = [(r.id, (r.a, r.b)) for r in dedup(df, "id", ["a", "b"]).collect()]
     assert len(got) == len(want) and dict(got) == want
+    any_copy = [tuple(r) for r in dedup(df, "id").collect()]
+    assert len(any_copy) == len(want) and set(any_copy) <= set(data)
+    assert sorted(map(str, any_copy)) == sorted(
+        str(tuple(r)) for r in dedup(df.repartition(2, "b"), "id").collect()
+    )
     counts = defaultdict(int)
     for r in data:
         counts[r[0]] += 1
@@ -181,6 +187,28 @@ def test_average_is_exact_half_away_from_zero(spark, pairs):
         assert r.avg == (whole if r.cents >= 0 else -whole) / 100
 
 
+def test_the_default_survivor_tells_rows_apart_by_which_values_are_null(spark):
+    rows = [("x", None, 1), ("x", 1, None), ("x", None, None)]
+    df = spark.createDataFrame(rows, "id string, a int, b int")
+    marks = with_order(df, "id")[0].select(*FINGERPRINT).distinct()
+    assert marks.count() == 3
+
+
+def test_the_default_survivor_favours_no_date(spark):
+    df = synth_sales(spark, 200_000, dt.date(2026, 1, 1), seed=5)
+    middle = dt.date(2024, 7, 1)
+    early = (F.col("order_date") <= middle).cast("int")
+    share = df.agg(F.avg(early)).first()[0]
+    kept = dedup(df, "transaction_id").agg(F.avg(early)).first()[0]
+    assert kept == pytest.approx(share, abs=0.006)
+
+
+def test_layer_counts_equal_the_rows_of_the_layers(bronze, rows):
+    got = layer_counts(bronze).first()
+    survivors = surviving_copies(bronze).count()
+    assert tuple(got) == (bronze.count(), survivors, rows.count())
+
+
 def test_rows_to_be_dropped_still_suppress_their_copies(spark):
     df = synth_sales(spark, 5_000, dt.date(2026, 1, 1), seed=9)
     narrow = ["order_date", "ship_date", "customer_id", "product_id", "quantity"]

@@ -47,7 +47,7 @@ EXPECTED = {
 @pytest.mark.parametrize("files", [(None, None), (24, 8)], ids=["as-is", "24-and-8"])
 def test_pipeline_counts_layers_and_marts(spark, tmp_path, files):
     layout = Layout.under(str(tmp_path), raw=rows.write_csv(tmp_path))
-    counts = run_pipeline(spark, layout, *files)
+    counts = run_pipeline(spark, layout, *files, order_by=rows.ORDER)
     assert counts == {"bronze": 14, "deduplicated": 13, "silver": 9}
     bronze = read_layer(spark, layout.bronze, RAW_SCHEMA)
     assert bronze.count() == 14
@@ -60,7 +60,7 @@ def test_pipeline_counts_layers_and_marts(spark, tmp_path, files):
 def test_running_again_overwrites(spark, tmp_path):
     layout = Layout.under(str(tmp_path), raw=rows.write_csv(tmp_path))
     run_pipeline(spark, layout)
-    run_pipeline(spark, layout)
+    run_pipeline(spark, layout, order_by=rows.ORDER)
     assert marts_of(spark, layout) == EXPECTED
 
 
@@ -93,14 +93,14 @@ def test_silver_order_by_picks_the_survivor(spark, tmp_path):
 
 def test_float_mode_through_the_cube_is_close_to_exact(spark, tmp_path):
     layout = Layout.under(str(tmp_path), raw=rows.write_csv(tmp_path))
-    run_pipeline(spark, layout, mode="float")
+    run_pipeline(spark, layout, mode="float", order_by=rows.ORDER)
     got = {r[0]: r[1] for r in read_layer(spark, layout.daily, DAILY_SCHEMA).collect()}
     assert got[rows.D10] == pytest.approx(10.0)
 
 
 def test_cube_marts_equal_direct_marts(spark, tmp_path):
     raw = rows.write_csv(tmp_path)
-    direct = with_total_amount(clean(read_raw_csv(spark, raw)))
+    direct = with_total_amount(clean(read_raw_csv(spark, raw), rows.ORDER))
     got = {tuple(r) for r in daily_mart(facts(direct, "order_date")).collect()}
     assert got == EXPECTED["daily"]
 
@@ -109,7 +109,10 @@ def test_command_line_stages(spark, tmp_path, capsys):
     raw = rows.write_csv(tmp_path)
     layout = Layout.under(str(tmp_path), raw=raw)
     jobs.main(["bronze", "--input", raw, "--output", layout.bronze, "--files", "3"])
-    jobs.main(["silver", "--input", layout.bronze, "--output", layout.silver])
+    jobs.main(
+        ["silver", "--input", layout.bronze, "--output", layout.silver]
+        + ["--order-by", *rows.ORDER]
+    )
     jobs.main(
         ["gold", "--input", layout.silver, "--daily-output", layout.daily]
         + ["--category-output", layout.category, "--city-output", layout.city]

@@ -1,0 +1,49 @@
+"""Partition sizes follow the input and the session is left as it was."""
+
+from __future__ import annotations
+
+import pytest
+
+from tallymart.plans import sizing
+from tallymart.plans.sizing import dataset_bytes, partition_bytes, sized_for
+
+TB = 2**40
+PARTITIONS = "spark.sql.shuffle.partitions"
+SCAN = "spark.sql.files.maxPartitionBytes"
+
+
+def test_partition_size_grows_slower_than_the_data():
+    assert partition_bytes(0) == partition_bytes(10**9) == sizing.MIN_PARTITION_BYTES
+    assert partition_bytes(100 * TB) == sizing.MAX_PARTITION_BYTES
+    one = partition_bytes(TB)
+    assert sizing.MIN_PARTITION_BYTES < one < sizing.MAX_PARTITION_BYTES
+    assert one**2 / TB == pytest.approx(sizing.MIN_BLOCK_BYTES, rel=0.01)
+
+
+def test_bytes_of_a_folder(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part-{i}").write_bytes(b"x" * 1000)
+    assert dataset_bytes(spark, str(tmp_path)) == 3000
+    assert dataset_bytes(spark, str(tmp_path / "part-1")) == 1000
+
+
+def test_settings_grow_with_the_input_and_come_back(spark, tmp_path, monkeypatch):
+    before = {name: spark.conf.get(name) for name in (PARTITIONS, SCAN)}
+    monkeypatch.setattr(sizing, "dataset_bytes", lambda *_: 30 * TB)
+    with pytest.raises(RuntimeError), sized_for(spark, str(tmp_path)):
+        size = sizing._bytes(spark.conf.get(SCAN))
+        assert size == partition_bytes(30 * TB) > 900 * 2**20
+        assert int(spark.conf.get(PARTITIONS)) * size == pytest.approx(30 * TB, rel=0.001)
+        raise RuntimeError
+    assert {name: spark.conf.get(name) for name in (PARTITIONS, SCAN)} == before
+    monkeypatch.setattr(sizing, "dataset_bytes", lambda *_: 1000)
+    with sized_for(spark, str(tmp_path)):
+        assert spark.conf.get(PARTITIONS) == before[PARTITIONS]
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [("134217728b", 2**27), ("128MB", 2**27), ("128m", 2**27), ("1g", 2**30), ("7", 7), ("2k", 2048)],
+)
+def test_size_settings_are_read_in_any_unit(text, value):
+    assert sizing._bytes(text) == value
