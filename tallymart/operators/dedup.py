@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FINGERPRINT = ("_fingerprint_1", "_fingerprint_2")
+FINGERPRINT = "_fingerprint"
 
 
-def _fingerprint(columns: Sequence[str]) -> dict[str, Column]:
-    """128 bits that depend on every value of a row and on which values are null."""
-    nulls = F.array(*[F.isnull(c) for c in columns])
-    return {
-        name: F.xxhash64(F.lit(i), nulls, *columns) for i, name in enumerate(FINGERPRINT)
-    }
+def fingerprint(columns: Sequence[str]) -> Column:
+    """64 bits that depend on every value of a row and on which values are null.
+
+    The hash alone skips nulls, so rows whose values sit in different columns
+    could share it; hence the flags. Two differing copies of one key share a
+    fingerprint with a chance of one in 2**64.
+    """
+    return F.xxhash64(*columns, *[F.isnull(c) for c in columns])
 
 
 def with_order(
@@ -31,7 +33,7 @@ def with_order(
     if order_by:
         return df, [c for c in order_by if c != key]
     others = [c for c in df.columns if c != key]
-    return df.withColumns(_fingerprint(others)), list(FINGERPRINT)
+    return df.withColumn(FINGERPRINT, fingerprint(others)), [FINGERPRINT]
 
 
 def dedup(df: DataFrame, key: str, order_by: Sequence[str] | None = None) -> DataFrame:

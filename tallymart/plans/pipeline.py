@@ -121,12 +121,14 @@ def run_gold(
         silver = read_layer(spark, input, RAW_SCHEMA)
         rows = marts.with_total_amount(silver, mode)
         write_layer(marts.sales_cube(rows), cube_output)
-    cube = read_layer(spark, cube_output)
-    write_layer(marts.daily_mart(marts.roll_up(cube, "order_date")), daily_output)
-    write_layer(
-        marts.category_mart(marts.roll_up(cube, "product_category")), category_output
-    )
-    write_layer(marts.city_mart(marts.roll_up(cube, "city", "state")), city_output)
+    with sized_for(spark, cube_output):
+        cube = read_layer(spark, cube_output)
+        by_day = marts.roll_up(cube, "order_date")
+        write_layer(marts.daily_mart(by_day), daily_output)
+        by_category = marts.roll_up(cube, "product_category")
+        write_layer(marts.category_mart(by_category), category_output)
+        by_city = marts.roll_up(cube, "city", "state")
+        write_layer(marts.city_mart(by_city), city_output)
 
 
 def run_pipeline(

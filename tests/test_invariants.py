@@ -190,7 +190,7 @@ def test_average_is_exact_half_away_from_zero(spark, pairs):
 def test_the_default_survivor_tells_rows_apart_by_which_values_are_null(spark):
     rows = [("x", None, 1), ("x", 1, None), ("x", None, None)]
     df = spark.createDataFrame(rows, "id string, a int, b int")
-    marks = with_order(df, "id")[0].select(*FINGERPRINT).distinct()
+    marks = with_order(df, "id")[0].select(FINGERPRINT).distinct()
     assert marks.count() == 3
 
 

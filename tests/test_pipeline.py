@@ -64,6 +64,24 @@ def test_running_again_overwrites(spark, tmp_path):
     assert marts_of(spark, layout) == EXPECTED
 
 
+def test_windows_line_ends_and_several_files(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for i, part in enumerate([rows.BOUNDARY[:5], rows.BOUNDARY[5:]]):
+        lines = [rows.HEADER, *map(rows.csv_line, part)]
+        (raw / f"{i}.csv").write_bytes("".join(x + "\r\n" for x in lines).encode())
+    layout = Layout.under(str(tmp_path), raw=str(raw))
+    run_pipeline(spark, layout, order_by=rows.ORDER)
+    assert marts_of(spark, layout) == EXPECTED
+
+
+def test_a_feed_without_rows_gives_empty_marts(spark, tmp_path):
+    layout = Layout.under(str(tmp_path), raw=rows.write_csv(tmp_path, rows=[]))
+    counts = run_pipeline(spark, layout)
+    assert counts == {"bronze": 0, "deduplicated": 0, "silver": 0}
+    assert marts_of(spark, layout) == {"daily": set(), "category": set(), "city": set()}
+
+
 def test_an_error_stops_the_pipeline(spark, tmp_path):
     layout = Layout.under(str(tmp_path), raw=rows.write_csv(tmp_path, "wrong" + rows.HEADER))
     with pytest.raises(Py4JJavaError, match="CSV header"):
