@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallymart.functions import money
 from tallymart.operators import marts
 from tallymart.plans.silver import finish, surviving_copies
-from tallymart.plans.sizing import sized_for
+from tallymart.plans.sizing import scan_sized, shuffle_sized
 from tallymart.schema import BUSINESS_KEY, RAW_SCHEMA
 from tallymart.sources.csv_feed import read_raw_csv
 from tallymart.sources.layers import assert_apart, read_layer, write_layer
@@ -70,7 +70,7 @@ def run_bronze(
     was read.
     """
     assert_apart([input], [output])
-    with sized_for(spark, input):
+    with scan_sized(spark, input):
         raw = read_raw_csv(spark, input, check_header)
         if files is not None:
             raw = raw.repartition(files)
@@ -92,7 +92,7 @@ def run_silver(
     that many even files.
     """
     assert_apart([input], [output])
-    with sized_for(spark, input):
+    with shuffle_sized(spark, input):
         bronze = read_layer(spark, input, RAW_SCHEMA)
         survivors = surviving_copies(bronze, order_by)
         if files is not None:
@@ -117,11 +117,11 @@ def run_gold(
     Silver is scanned once; the marts read the much smaller stored cube.
     """
     assert_apart([input], [daily_output, category_output, city_output, cube_output])
-    with sized_for(spark, input):
+    with shuffle_sized(spark, input):
         silver = read_layer(spark, input, RAW_SCHEMA)
         rows = marts.with_total_amount(silver, mode)
         write_layer(marts.sales_cube(rows), cube_output)
-    with sized_for(spark, cube_output):
+    with shuffle_sized(spark, cube_output):
         cube = read_layer(spark, cube_output)
         by_day = marts.roll_up(cube, "order_date")
         write_layer(marts.daily_mart(by_day), daily_output)

@@ -14,10 +14,26 @@ from math import ceil, sqrt
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-MIN_PARTITION_BYTES = 128 * 2**20
-MAX_PARTITION_BYTES = 2**30
+MB = 2**20
+SCAN = "spark.sql.files.maxPartitionBytes"
+SHUFFLE = "spark.sql.shuffle.partitions"
+
+# Measured on the sales feed: a byte of compressed Parquet becomes two to four
+# bytes of shuffled rows.
+SHUFFLED_PER_STORED = 4
+
+# Shuffled bytes per task. Below the lower bound tasks are not worth starting,
+# above the upper one a sort spills more than once.
+MIN_PARTITION_BYTES = 128 * MB
+MAX_PARTITION_BYTES = 2048 * MB
 MIN_BLOCK_BYTES = 32 * 2**10
 
+# Text bytes per task where splits are written as they are read: files of a
+# quarter of that, as few tasks as a scheduler likes, all cores busy before.
+MIN_SPLIT_BYTES = 128 * MB
+MAX_SPLIT_BYTES = 512 * MB
+MANY_TASKS = 10_000
+
 
 def dataset_bytes(spark: SparkSession, path: str) -> int:
     """Stored size of a file or folder, from the file listing; no file is opened."""
@@ -27,32 +43,44 @@ def dataset_bytes(spark: SparkSession, path: str) -> int:
     return files.agg(F.sum("length")).first()[0] or 0
 
 
-def partition_bytes(total: int) -> int:
-    """Input bytes per task.
+def partition_bytes(shuffled: int) -> int:
+    """Bytes per task on either side of a shuffle of that many bytes.
 
-    A shuffle of ``total`` bytes between as many tasks as readers makes blocks
-    of ``size**2 / total``. The size grows with the data so that blocks stay
-    worth a fetch, within what one task can sort.
+    A shuffle between equally sized partitions moves blocks of
+    ``size**2 / shuffled``. The size grows with the data so that blocks stay
+    worth a fetch.
     """
-    return min(max(int(sqrt(total * MIN_BLOCK_BYTES)), MIN_PARTITION_BYTES), MAX_PARTITION_BYTES)
+    size = int(sqrt(shuffled * MIN_BLOCK_BYTES))
+    return min(max(size, MIN_PARTITION_BYTES), MAX_PARTITION_BYTES)
+
+
+def split_bytes(total: int) -> int:
+    """Bytes per task of a job that only reads and writes."""
+    return min(max(total // MANY_TASKS, MIN_SPLIT_BYTES), MAX_SPLIT_BYTES)
 
 
 @contextmanager
-def sized_for(spark: SparkSession, path: str) -> Iterator[None]:
-    """Run a job over ``path`` with scan and shuffle partitions of a fitting size.
+def scan_sized(spark: SparkSession, path: str) -> Iterator[None]:
+    """Run a job that writes ``path`` as it is read with splits of a fitting size."""
+    with _settings(spark, {SCAN: split_bytes(dataset_bytes(spark, path))}):
+        yield
 
-    Only raises what the session has set, and puts it back afterwards.
+
+@contextmanager
+def shuffle_sized(spark: SparkSession, path: str) -> Iterator[None]:
+    """Run a job that shuffles the Parquet rows of ``path`` with partitions of a fitting size.
+
+    Never fewer shuffle partitions than the session has.
     """
-    total = dataset_bytes(spark, path)
-    size = partition_bytes(total)
-    settings = {
-        "spark.sql.files.maxPartitionBytes": max(
-            size, _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-        ),
-        "spark.sql.shuffle.partitions": max(
-            ceil(total / size), int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ),
-    }
+    shuffled = dataset_bytes(spark, path) * SHUFFLED_PER_STORED
+    size = partition_bytes(shuffled)
+    partitions = max(ceil(shuffled / size), int(spark.conf.get(SHUFFLE)))
+    with _settings(spark, {SCAN: size // SHUFFLED_PER_STORED, SHUFFLE: partitions}):
+        yield
+
+
+@contextmanager
+def _settings(spark: SparkSession, settings: dict[str, int]) -> Iterator[None]:
     before = {name: spark.conf.get(name) for name in settings}
     try:
         for name, value in settings.items():
@@ -61,10 +89,3 @@ def sized_for(spark: SparkSession, path: str) -> Iterator[None]:
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
-
-
-def _bytes(setting: str) -> int:
-    """A size setting as Spark shows it: a number with an optional unit."""
-    text = setting.strip().lower().removesuffix("b")
-    power = "kmgt".find(text[-1]) + 1
-    return int(text[:-1] if power else text) * 2 ** (10 * power)

@@ -5,19 +5,32 @@ from __future__ import annotations
 import pytest
 
 from tallymart.plans import sizing
-from tallymart.plans.sizing import dataset_bytes, partition_bytes, sized_for
+from tallymart.plans.sizing import (
+    MB,
+    SCAN,
+    SHUFFLE,
+    dataset_bytes,
+    partition_bytes,
+    scan_sized,
+    shuffle_sized,
+    split_bytes,
+)
 
 TB = 2**40
-PARTITIONS = "spark.sql.shuffle.partitions"
-SCAN = "spark.sql.files.maxPartitionBytes"
 
 
 def test_partition_size_grows_slower_than_the_data():
-    assert partition_bytes(0) == partition_bytes(10**9) == sizing.MIN_PARTITION_BYTES
-    assert partition_bytes(100 * TB) == sizing.MAX_PARTITION_BYTES
-    one = partition_bytes(TB)
-    assert sizing.MIN_PARTITION_BYTES < one < sizing.MAX_PARTITION_BYTES
-    assert one**2 / TB == pytest.approx(sizing.MIN_BLOCK_BYTES, rel=0.01)
+    assert partition_bytes(0) == partition_bytes(10**9) == 128 * MB
+    assert partition_bytes(1000 * TB) == 2048 * MB
+    size = partition_bytes(10 * TB)
+    assert 128 * MB < size < 2048 * MB
+    assert size**2 / (10 * TB) == pytest.approx(sizing.MIN_BLOCK_BYTES, rel=0.01)
+
+
+def test_splits_grow_once_there_are_many():
+    assert split_bytes(0) == split_bytes(TB) == 128 * MB
+    assert split_bytes(3 * TB) == 3 * TB // 10_000
+    assert split_bytes(100 * TB) == 512 * MB
 
 
 def test_bytes_of_a_folder(spark, tmp_path):
@@ -27,23 +40,37 @@ def test_bytes_of_a_folder(spark, tmp_path):
     assert dataset_bytes(spark, str(tmp_path / "part-1")) == 1000
 
 
-def test_settings_grow_with_the_input_and_come_back(spark, tmp_path, monkeypatch):
-    before = {name: spark.conf.get(name) for name in (PARTITIONS, SCAN)}
+@pytest.fixture
+def before(spark):
+    return {name: spark.conf.get(name) for name in (SCAN, SHUFFLE)}
+
+
+def now(spark):
+    return {name: spark.conf.get(name) for name in (SCAN, SHUFFLE)}
+
+
+def as_bytes(setting: str) -> int:
+    return int(setting.removesuffix("b"))
+
+
+def test_a_large_input_gets_more_partitions_and_the_session_its_own_back(
+    spark, before, monkeypatch
+):
     monkeypatch.setattr(sizing, "dataset_bytes", lambda *_: 30 * TB)
-    with pytest.raises(RuntimeError), sized_for(spark, str(tmp_path)):
-        size = sizing._bytes(spark.conf.get(SCAN))
-        assert size == partition_bytes(30 * TB) > 900 * 2**20
-        assert int(spark.conf.get(PARTITIONS)) * size == pytest.approx(30 * TB, rel=0.001)
+    with pytest.raises(RuntimeError), shuffle_sized(spark, "any"):
+        partitions = int(spark.conf.get(SHUFFLE))
+        scan = as_bytes(spark.conf.get(SCAN))
+        assert 50_000 < partitions < 70_000
+        assert partitions * scan == pytest.approx(30 * TB, rel=0.001)
         raise RuntimeError
-    assert {name: spark.conf.get(name) for name in (PARTITIONS, SCAN)} == before
-    monkeypatch.setattr(sizing, "dataset_bytes", lambda *_: 1000)
-    with sized_for(spark, str(tmp_path)):
-        assert spark.conf.get(PARTITIONS) == before[PARTITIONS]
+    assert now(spark) == before
+    with scan_sized(spark, "any"):
+        assert as_bytes(spark.conf.get(SCAN)) == split_bytes(30 * TB)
+        assert spark.conf.get(SHUFFLE) == before[SHUFFLE]
+    assert now(spark) == before
 
 
-@pytest.mark.parametrize(
-    "text, value",
-    [("134217728b", 2**27), ("128MB", 2**27), ("128m", 2**27), ("1g", 2**30), ("7", 7), ("2k", 2048)],
-)
-def test_size_settings_are_read_in_any_unit(text, value):
-    assert sizing._bytes(text) == value
+def test_a_small_input_keeps_the_partitions_of_the_session(spark, before, monkeypatch):
+    monkeypatch.setattr(sizing, "dataset_bytes", lambda *_: 1000)
+    with shuffle_sized(spark, "any"):
+        assert spark.conf.get(SHUFFLE) == before[SHUFFLE]
