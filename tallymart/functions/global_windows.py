@@ -1,4 +1,9 @@
-"""Ranking a whole table without sorting it in one task."""
+"""Window results over a whole table without moving it into one task.
+
+Both functions join the table to a small summary of itself. The two sides
+share their input's last shuffle, so it is computed once; a scalar subquery
+would be planned, and under adaptive execution run, separately.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,8 @@ from pyspark.sql import functions as F
 BANDS_PER_E = 1000
 NULL_BAND = -(10**6)
 
+SLICES = 256  # a power of two
+
 
 def _band(value: str) -> Column:
     """Coarse band of a value: a larger value never falls into a lower band."""
@@ -44,3 +51,24 @@ def with_rank_desc(df: DataFrame, value: str, name: str) -> DataFrame:
         .withColumn(name, (F.col("_ahead") + F.col("_within")).cast("bigint"))
         .select(*df.columns, name)
     )
+
+
+def with_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows; ``key`` is any column that varies.
+
+    Sums go through a fixed number of slices, and only those are added up in
+    one task.
+    """
+    # Never null by its form: a null check on one side would keep Spark from
+    # seeing that both sides have the same input.
+    sliced = df.withColumn("_slice", F.xxhash64(key).bitwiseAND(F.lit(SLICES - 1)))
+    totals = (
+        sliced.groupBy("_slice")
+        .agg(F.sum(value).alias("_sum"))
+        .select(
+            F.col("_slice").alias("_slice_summed"),
+            F.sum("_sum").over(Window.partitionBy()).alias(name),
+        )
+    )
+    joined = sliced.join(totals, F.col("_slice") == F.col("_slice_summed"))
+    return joined.select(*df.columns, name)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions import money
-from tallymart.functions.ranking import with_rank_desc
+from tallymart.functions.global_windows import with_rank_desc, with_total
 from tallymart.operators.marts import average_order_value, roll_up
 
 
@@ -34,12 +34,11 @@ def kpi_category_totals(facts: DataFrame) -> DataFrame:
 
 def category_order_share(facts: DataFrame) -> DataFrame:
     """Orders per category and their share of all orders."""
-    by_category = roll_up(facts, "product_category")
-    total = by_category.agg(F.sum("orders")).scalar()
-    return by_category.select(
+    by_category = roll_up(facts, "product_category").select("product_category", "orders")
+    return with_total(by_category, "product_category", "orders", "all_orders").select(
         "product_category",
         F.col("orders").alias("order_count"),
-        _ratio(F.col("orders"), total).alias("order_share"),
+        _ratio(F.col("orders"), F.col("all_orders")).alias("order_share"),
     )
 
 

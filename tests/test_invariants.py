@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallymart import clean, dedup, duplicate_keys, facts, roll_up, sales_cube
 from tallymart import synth_sales, with_total_amount
 from tallymart.functions.money import rounded_average
-from tallymart.functions.ranking import with_rank_desc
+from tallymart.functions.global_windows import with_rank_desc, with_total
 from tallymart.operators import rollups
 from tallymart.operators.dedup import FINGERPRINT, with_order
 from tallymart.plans.silver import layer_counts, surviving_copies
@@ -130,7 +130,7 @@ ids = st.one_of(st.none(), st.sampled_from(["a", "b", "c"]))
 
 
 @settings(
-    max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 @given(st.lists(st.tuples(ids, cell, cell), min_size=1, max_size=30))
 def test_dedup_against_brute_force(spark, data):
@@ -152,14 +152,14 @@ def test_dedup_against_brute_force(spark, data):
 
 
 @settings(
-    max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 @given(
     st.lists(
         st.one_of(st.none(), st.decimals(-(10**9), 10**9, places=2)), min_size=1, max_size=40
     )
 )
-def test_rank_against_brute_force(spark, values):
+def test_rank_and_total_against_brute_force(spark, values):
     rows = [(i, v) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "id int, v decimal(28,2)").repartition(4)
     got = {r.id: r.rank for r in with_rank_desc(df, "v", "rank").collect()}
@@ -167,10 +167,13 @@ def test_rank_against_brute_force(spark, values):
     for i, v in rows:
         ahead = sum(o > v for o in known) if v is not None else len(known)
         assert got[i] == ahead + 1
+    totals = with_total(df, "id", "v", "total").collect()
+    assert sorted(r.id for r in totals) == [i for i, _ in rows]
+    assert {r.total for r in totals} == {sum(known) if known else None}
 
 
 @settings(
-    max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 @given(st.lists(st.tuples(st.integers(-(10**15), 10**15), st.integers(0, 9)), min_size=1))
 def test_average_is_exact_half_away_from_zero(spark, pairs):

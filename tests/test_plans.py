@@ -42,7 +42,16 @@ def test_single_partitions_hold_only_partial_aggregates_or_band_counts(spark, na
     lines = plan_of(registry.queries()[name](spark, FOLDER)).splitlines()
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
-            assert "partial_" in lines[i + 1] or "HashAggregate(keys=[_band" in lines[i + 1]
+            assert re.search(r"partial_|HashAggregate\(keys=\[_(band|slice)", lines[i + 1])
+
+
+@pytest.mark.parametrize("name", ["category_order_share", "category_revenue_rank"])
+def test_whole_table_windows_deduplicate_once(spark, name):
+    df = registry.queries()[name](spark, str(TESTDATA / "sf0.01"))
+    df.collect()
+    plan = plan_of(df)
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert final.count("row_number(), 1, Final") == 1
 
 
 @pytest.fixture(scope="module")
