@@ -36,6 +36,7 @@ class Layout:
     @classmethod
     def under(cls, root: str, raw: str | None = None) -> Layout:
         root = root.rstrip("/")
+        # Folder and file names of the layers.
         return cls(
             raw=raw or f"{root}/raw/retail_sales_raw.csv",
             bronze=f"{root}/bronze",

@@ -34,13 +34,21 @@ MIN_SPLIT_BYTES = 128 * MB
 MAX_SPLIT_BYTES = 512 * MB
 MANY_TASKS = 10_000
 
+ANY_SIZE = 2**60
+
 
 def dataset_bytes(spark: SparkSession, path: str) -> int:
-    """Stored size of a file or folder, from the file listing; no file is opened."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    )
-    return files.agg(F.sum("length")).first()[0] or 0
+    """Stored size of a file or folder, from the file listing; no file is opened.
+
+    However many files there are, a task per core adds up their lengths.
+    """
+    with _settings(spark, {SCAN: ANY_SIZE}):
+        files = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .load(path)
+        )
+        return files.agg(F.sum("length")).first()[0] or 0
 
 
 def partition_bytes(shuffled: int) -> int:

@@ -40,6 +40,19 @@ def test_bytes_of_a_folder(spark, tmp_path):
     assert dataset_bytes(spark, str(tmp_path / "part-1")) == 1000
 
 
+def test_bytes_of_many_files_take_a_task_per_core(spark, tmp_path, before):
+    for i in range(200):
+        (tmp_path / f"part-{i}").write_bytes(b"x" * 100_000)
+    spark.conf.set(SCAN, 1_000_000)
+    tracker, group = spark.sparkContext.statusTracker(), "sizing-test"
+    spark.sparkContext.setJobGroup(group, "listing")
+    assert dataset_bytes(spark, str(tmp_path)) == 200 * 100_000
+    infos = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    tasks = [tracker.getStageInfo(s).numTasks for i in infos for s in i.stageIds]
+    spark.conf.set(SCAN, before[SCAN])
+    assert tasks and max(tasks) <= 2 * spark.sparkContext.defaultParallelism
+
+
 @pytest.fixture
 def before(spark):
     return {name: spark.conf.get(name) for name in (SCAN, SHUFFLE)}
