@@ -1,0 +1,173 @@
+"""The operators' results computed plainly, in one process, for small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from array import array
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import public_tokenizers
+import sentencepiece
+from tokenizers import Tokenizer
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def words_lower(text: str | None) -> list[str]:
+    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def shingles(text: str | None, width: int) -> frozenset:
+    words = words_lower(text)
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+def components(sets: dict[int, frozenset], threshold: int) -> dict[int, int]:
+    """Every pair that shares a shingle is compared."""
+    having = defaultdict(list)
+    parent = {k: k for k in sets}
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for key in sorted(sets):
+        shared = Counter(other for s in sets[key] for other in having[s])
+        for other, n in shared.items():
+            if 100 * n >= threshold * (len(sets[key]) + len(sets[other]) - n):
+                a, b = sorted((root(key), root(other)))
+                parent[b] = a
+        for s in sets[key]:
+            having[s].append(key)
+    return {k: root(k) for k in sets}
+
+
+def quality(text: str | None) -> dict[str, int]:
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    many = {w for w, n in Counter(windows).items() if n > 1}
+    covered = {i + k for i, w in enumerate(windows) if w in many for k in range(5)}
+    return {
+        "n_words": len(words),
+        "word_chars": sum(map(len, words)),
+        "n_symbols": len(re.findall(r"[#*$%&|<>]", text)),
+        "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len(covered),
+        "n_lines": len(lines),
+    }
+
+
+def exact(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
+    groups = defaultdict(list)
+    for key, text in rows:
+        groups[text or ""].append(key)
+    return {
+        key: (max(keys), len(keys), key == max(keys), hashlib.sha256(text.encode()).hexdigest())
+        for text, keys in groups.items()
+        for key in keys
+    }
+
+
+def byte_bpe() -> Tokenizer:
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def round_trips(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
+    tokenizer = byte_bpe()
+    coded = [tokenizer.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    return {
+        key: (
+            len(ids),
+            hashlib.sha256(packed(ids)).hexdigest(),
+            hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest(),
+        )
+        for (key, _), ids in zip(rows, coded)
+    }
+
+
+def token_file(rows: list[tuple[int, str | None]], end_id: int) -> dict[int, tuple]:
+    tokenizer, at, out = byte_bpe(), 0, {}
+    for key, text in sorted(rows, key=lambda r: r[0]):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [end_id]
+        out[key] = (at, len(ids), zlib.crc32(packed(ids)))
+        at += len(ids)
+    return out
+
+
+def piece_counts(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    return {
+        key: (len((t or "").encode()), n, n > 4096)
+        for key, t in rows
+        for n in [len(pieces.encode(t or ""))]
+    }
+
+
+def warc(rows: list[tuple[int, str | None]], least: int) -> dict[int, tuple]:
+    groups = defaultdict(list)
+    for key, html in rows:
+        groups[html or ""].append(key)
+    out = {}
+    for html, keys in groups.items():
+        payload, first = html.encode(), max(keys)
+        for key in keys:
+            revisit = len(payload) >= least and key != first
+            digest = hashlib.sha1(payload).hexdigest()
+            out[key] = (len(payload), digest, "revisit" if revisit else "response", first if revisit else None)
+    return out
+
+
+def conversations(rows: list[tuple[int, int, str, str | None]]) -> dict[int, tuple]:
+    by = defaultdict(list)
+    for conv_id, turn, role, text in rows:
+        by[conv_id].append((turn, role or "", text or ""))
+    out = {}
+    for conv_id, turns in by.items():
+        turns.sort()
+        said = "".join(f"{role}\n{text}\n" for _, role, text in turns)
+        loss = "".join(text for _, role, text in turns if role == "assistant")
+        out[conv_id] = (
+            len(turns),
+            hashlib.sha256(said.encode()).hexdigest(),
+            len(loss),
+            hashlib.sha256(loss.encode()).hexdigest(),
+        )
+    return out
+
+
+def earliest_deadline_first(weights: dict[str, int], rows: dict[str, int], block: int) -> list[tuple[str, int, int]]:
+    """``source, block, slot`` of every block of finite sources, slot after slot."""
+    period = sum(weights.values())
+    names = list(weights)
+    blocks = {s: -(-rows[s] // block) for s in names}
+    done, out, slot = dict.fromkeys(names, 0), [], 0
+    while any(done[s] < blocks[s] for s in names):
+        ready = []
+        for place, s in enumerate(names):
+            share = Fraction(weights[s], period)
+            release = done[s] / share
+            if release.__floor__() <= slot:
+                ready.append((((done[s] + 1) / share).__ceil__(), place, s))
+        if ready:
+            s = min(ready)[2]
+            if done[s] < blocks[s]:
+                out.append((s, done[s], slot))
+            done[s] += 1
+        slot += 1
+    return out
