@@ -27,7 +27,6 @@ from tallymart.sources.scratch import scratch_path
 from tallymart.sources.star_feed import (
     INGESTION_DATE,
     LINE_ORDER,
-    line_salt,
     star_feed,
     star_table,
 )
@@ -99,10 +98,9 @@ def pipeline_end_to_end(spark: SparkSession, folder: str) -> DataFrame:
 def synth_source(spark: SparkSession, folder: str) -> DataFrame:
     """One generated dirty row per order line, ids drawn from half the line count."""
     lines = star_table(spark, folder, "lineitem")
-    ids = lines.agg(F.floor(F.count(F.lit(1)) / 2)).scalar()
-    return dirty_sales(
-        lines.select(line_salt().alias("row_key")), "row_key", ids, INGESTION_DATE
-    )
+    ids = lines.agg(F.greatest(F.floor(F.count(F.lit(1)) / 2), F.lit(1))).scalar()
+    row = F.col("l_orderkey") * 8 + F.col("l_linenumber")  # line numbers go up to 7
+    return dirty_sales(lines.select(row.alias("row_key")), "row_key", ids, INGESTION_DATE)
 
 
 # ---- deduplication and rules
@@ -155,7 +153,7 @@ def city_revenue(spark: SparkSession, folder: str, mode: str = money.EXACT) -> D
 
 def cube(spark: SparkSession, folder: str) -> DataFrame:
     facts = marts.sales_cube(_amounts(spark, folder))
-    return facts.withColumn("amount", money.published(F.col("amount")))
+    return facts.withColumn("amount", marts.revenue())
 
 
 def report(
@@ -164,7 +162,7 @@ def report(
     rollup: Callable[[DataFrame], DataFrame],
     keys: tuple[str, ...],
 ) -> DataFrame:
-    """A report over facts at the grain it needs."""
+    """A report over facts at the grain it needs, or any finer one such as the whole cube."""
     return rollup(marts.facts(_amounts(spark, folder), *keys))
 
 
@@ -205,4 +203,8 @@ def registered() -> dict[str, Query]:
         **{f"{n}_float": partial(q, mode=money.FLOAT) for n, q in by_mode.items()},
         "sales_cube": cube,
         **{f.__name__: partial(report, rollup=f, keys=k) for f, k in reports.items()},
+        **{
+            f"cube_{f.__name__}": partial(report, rollup=f, keys=marts.CUBE_KEYS)
+            for f in rollups.REPORTS
+        },
     }

@@ -1,13 +1,33 @@
-"""The same queries as SQL over the star tables, written for DuckDB.
-
-The three marts in float mode have no SQL here: a sum of doubles depends on
-the order of its terms, so no two engines need agree on its last digit. They
-are tested against a plain computation within a cent.
-"""
+"""The same queries as SQL over the star tables, written for DuckDB."""
 
 from __future__ import annotations
 
+from tallymart.functions.draws import DRAW_SPAN, DRAW_STEP, HIGH_STEP, ROUNDS, SEED_STEP
+from tallymart.operators.rollups import REPORTS
 from tallymart.schema import RAW_COLUMNS
+from tallymart.sources.synthetic import (
+    AGE,
+    CATEGORY_PRICES,
+    CUSTOMER_PREFIX,
+    CUSTOMERS,
+    DISCOUNT,
+    DRAWS,
+    FIRST_DAY,
+    GENDERS,
+    HIGH_AGE,
+    HIGH_DISCOUNT,
+    LAST_DAY,
+    LOW_AGE,
+    LOW_QUANTITY,
+    PAYMENTS,
+    PLACES,
+    PRODUCT_PREFIX,
+    PRODUCTS,
+    QUANTITY,
+    REFUND,
+    SHIP_LAG,
+    STATUSES,
+)
 
 RAW_LIST = ", ".join(RAW_COLUMNS)
 
@@ -36,9 +56,11 @@ feed AS (
     CAST(CASE k % 3 WHEN 0 THEN l_quantity WHEN 1 THEN 0 ELSE -1 - k % 5 END AS INTEGER)
       AS quantity,
     CAST(CASE k % 7 WHEN 0 THEN -p_retailprice WHEN 1 THEN NULL
+                    WHEN 3 THEN p_retailprice + CAST(0.005 AS DOUBLE)
                     ELSE p_retailprice END AS FLOAT) AS unit_price,
     CAST(CASE k % 11 WHEN 0 THEN CAST(60 + k % 91 AS DOUBLE) WHEN 1 THEN NULL
-                     WHEN 2 THEN -1.0 ELSE l_discount * 100 END AS FLOAT) AS discount_pct,
+                     WHEN 2 THEN -1.0 WHEN 3 THEN l_discount * 100 + CAST(0.345 AS DOUBLE)
+                     ELSE l_discount * 100 END AS FLOAT) AS discount_pct,
     n_name AS city,
     r_name AS state,
     CASE (l_partkey + l_linenumber) % 6 WHEN 0 THEN 'Card' WHEN 1 THEN 'UPI'
@@ -82,9 +104,13 @@ silver AS (
   FROM survivors WHERE quantity > 0
 )"""
 
-EXACT_AMOUNT = """TRY_CAST(round(
-    quantity * TRY_CAST(unit_price AS DECIMAL(12,2))
-    * (100 - TRY_CAST(discount_pct AS DECIMAL(5,2))) * 0.01, 2) AS DECIMAL(18,2))"""
+# In whole units of 1e-7: quantity * price * (100 - discount) is an integer, cents are
+# that by 1e14, half up.
+EXACT_AMOUNT = """CAST(0.01 * CAST((
+    2 * CAST(quantity AS HUGEINT)
+      * CAST(CAST(CAST(unit_price AS VARCHAR) AS DECIMAL(18,7)) * 10000000 AS HUGEINT)
+      * (1000000000 - CAST(CAST(CAST(discount_pct AS VARCHAR) AS DECIMAL(18,7)) * 10000000 AS HUGEINT))
+    + 100000000000000) // 200000000000000 AS DECIMAL(26,0)) AS DECIMAL(28,2))"""
 
 # Rounding goes through the shortest decimal text of the double, half up.
 FLOAT_AMOUNT = """CAST(round(CAST(CAST(
@@ -93,6 +119,8 @@ FLOAT_AMOUNT = """CAST(round(CAST(CAST(
 
 AMOUNTS = f"""
 amounts AS (SELECT *, {EXACT_AMOUNT} AS total_amount FROM silver)"""
+FLOAT_AMOUNTS = f"""
+amounts AS (SELECT *, CAST({FLOAT_AMOUNT} AS DECIMAL(28,2)) AS total_amount FROM silver)"""
 
 
 def average(total: str, count: str) -> str:
@@ -109,6 +137,8 @@ def facts(name: str, keys: str) -> str:
     return f"""
 {name} AS (
   SELECT {selected}sum(total_amount) AS amount, count(total_amount) AS priced_orders,
+    count(*) FILTER (WHERE total_amount IS NULL AND quantity IS NOT NULL
+      AND unit_price IS NOT NULL AND discount_pct IS NOT NULL) AS unpriceable,
     count(transaction_id) AS orders, CAST(sum(quantity) AS BIGINT) AS units
   FROM amounts{grouped}
 )"""
@@ -193,133 +223,68 @@ DQ = " UNION ALL ".join(
 )
 
 
-# The constants of the public murmur3 32-bit hash.
-MURMUR_SEED = 42
-MURMUR_C1, MURMUR_C2 = 0xCC9E2D51, 0x1B873593
-MURMUR_ADD = 0xE6546B64
-MURMUR_FINAL1, MURMUR_FINAL2 = 0x85EBCA6B, 0xC2B2AE35
-WORD = 0xFFFFFFFF
-
-
-def word(number: int | str) -> str:
-    return f"CAST({number} AS UBIGINT)"
-
-
-def times(x: str, factor: int) -> str:
-    return f"(({x} * {word(factor)}) & {word(WORD)})"
-
-
-def rotated(x: str, bits: int) -> str:
-    return f"((({x} << {bits}) | ({x} >> {32 - bits})) & {word(WORD)})"
-
-
-def hash_steps(names: list[str]) -> list[str]:
-    """CTEs that hash (0, draw number, k) as 32-bit words, one column per draw.
-
-    A step per CTE: mix in the two numbers, then the low and high half of
-    ``k``, then finish with the length of the last value.
-    """
-    key_halves = [("low", f"k & {WORD}"), ("high", f"(k >> 32) & {WORD}")]
-    words = [("zero", "0"), *((f"n_{n}", str(i)) for i, n in enumerate(names)), *key_halves]
-    scaled = ", ".join(f"{times(word(w), MURMUR_C1)} AS {n}" for n, w in words)
-    mixed = ", ".join(f"{times(rotated(n, 15), MURMUR_C2)} AS {n}" for n, _ in words)
-    steps = [
-        "keyed AS (SELECT l_orderkey * 31 + l_linenumber * 17 + l_partkey * 13"
-        " + l_suppkey * 7 AS k FROM lineitem)",
-        f"scaled AS (SELECT {scaled} FROM keyed)",
-        f"mixed AS (SELECT *, {word(MURMUR_SEED)} AS start FROM (SELECT {mixed} FROM scaled))",
-    ]
-
-    def step(label: str, columns: dict[str, str]) -> None:
-        source = steps[-1].split(" ", 1)[0]
-        listed = ", ".join(f"{x} AS {n}" for n, x in columns.items())
-        steps.append(f"{label} AS (SELECT * REPLACE ({listed}) FROM {source})")
-
-    def stir(label: str, before: dict[str, str], by: dict[str, str]) -> None:
-        step(label + "x", {n: f"xor({before[n]}, {by[n]})" for n in by})
-        step(
-            label,
-            {
-                n: f"(({rotated(n, 13)} * {word(5)} + {word(MURMUR_ADD)}) & {word(WORD)})"
-                for n in by
-            },
+def synth() -> str:
+    """The generator, from the same fixed values: draws are a few integer operations on the row key."""
+    key = "l_orderkey * 8 + l_linenumber"
+    start = f"(k % {DRAW_SPAN} + k // {DRAW_SPAN} % {DRAW_SPAN} * {HIGH_STEP} + {{start}}) % {DRAW_SPAN}"
+    steps = [f"x0 AS (SELECT {key} AS k FROM lineitem)"]
+    values = {
+        name: start.format(start=(SEED_STEP + (n + 1) * DRAW_STEP * 65537) % DRAW_SPAN)
+        for n, name in enumerate(DRAWS)
+    }
+    for at, (factor, shift) in enumerate(ROUNDS):
+        scaled = ", ".join(
+            f"(({v}) * {factor} + {n + 1}) % {DRAW_SPAN} AS d_{name}" for n, (name, v) in enumerate(values.items())
         )
+        folded = ", ".join(f"xor(d_{name}, d_{name} >> {shift}) % {DRAW_SPAN} AS d_{name}" for name in DRAWS)
+        steps += [f"m{at} AS (SELECT {scaled} FROM x{at})", f"x{at + 1} AS (SELECT {folded} FROM m{at})"]
+        values = {name: f"d_{name}" for name in DRAWS}
 
-    def finish(label: str, columns: list[str], length: int) -> None:
-        step(label + "0", {n: f"xor({n}, {word(length)})" for n in columns})
-        step(label + "1", {n: times(f"xor({n}, {n} >> 16)", MURMUR_FINAL1) for n in columns})
-        step(label + "2", {n: times(f"xor({n}, {n} >> 13)", MURMUR_FINAL2) for n in columns})
-        step(label + "3", {n: f"xor({n}, {n} >> 16)" for n in columns})
-
-    draws = [f"n_{n}" for n in names]
-    stir("first", {"start": "start"}, {"start": "zero"})
-    finish("firstend", ["start"], 4)
-    stir("second", dict.fromkeys(draws, "start"), {n: n for n in draws})
-    finish("secondend", draws, 4)
-    stir("third", {n: n for n in draws}, dict.fromkeys(draws, "low"))
-    stir("fourth", {n: n for n in draws}, dict.fromkeys(draws, "high"))
-    finish("fourthend", draws, 8)
-    return steps
-
+    def literal(value) -> str:
+        return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
 
-def synth() -> str:
-    """The generator: its draws are murmur3 hashes of seed 0, draw number and row key."""
-    names = (
-        "id_high id_low order_date ship_lag customer age_kind age gender category "
-        "price_kind price quantity_kind quantity discount_kind discount place product "
-        "payment status"
-    ).split()
-    steps = ",\n".join(hash_steps(names))
-    draws = ", ".join(f"CAST(n_{n} AS BIGINT) AS d_{n}" for n in names)
-
-    def pick(draw: str, values: list[str]) -> str:
+    def pick(draw: str, values: list) -> str:
         whens = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
         return f"CASE {draw} % {len(values)} {whens} END"
 
-    def text(*values: str) -> list[str]:
-        return [f"'{v}'" for v in values]
+    def between(draw: str, span: tuple[int, int]) -> str:
+        return f"{draw} % {span[1] - span[0] + 1} + {span[0]}"
 
-    categories = text("Electronics", "Fashion", "Grocery", "Furniture", "Sports")
-    low = pick("d_category", ["10000", "2000", "100", "5000", "1000"])
-    span = pick("d_category", ["190001", "48001", "4901", "145001", "79001"])
-    cities = text(
-        "New York", "Los Angeles", "Chicago", "Houston", "Phoenix", "Philadelphia",
-        "San Antonio", "San Diego", "Dallas", "San Jose",
-    )
-    states = text("NY", "CA", "IL", "TX", "AZ", "PA", "TX", "CA", "TX", "CA")
+    def chosen(draw: str, values: list) -> str:
+        return pick(draw, [literal(v) for v in values])
+
+    low = chosen("d_category", [low * 100 for low, _ in CATEGORY_PRICES.values()])
+    span = chosen("d_category", [(high - low) * 100 + 1 for low, high in CATEGORY_PRICES.values()])
+    ages = [between("d_age", s) for s in (AGE, LOW_AGE, HIGH_AGE)]
+    discounts = [
+        f"CAST({between('d_discount', (lo * 100, hi * 100))} AS DOUBLE) / 100" for lo, hi in (DISCOUNT, HIGH_DISCOUNT)
+    ]
+    refund = f"CAST(-{REFUND[0]} AS DOUBLE) - CAST({REFUND[1] - REFUND[0]} AS DOUBLE) * CAST(d_price AS DOUBLE) / CAST({DRAW_SPAN} AS DOUBLE)"
+    quantities = [between("d_quantity", QUANTITY), "0", between("d_quantity", LOW_QUANTITY)]
+    days = (LAST_DAY - FIRST_DAY).days
     return f"""
-WITH {steps},
-draws AS (SELECT {draws} FROM fourthend3),
+WITH {", ".join(steps)},
 dated AS (
-  SELECT *, DATE '2023-01-01' + CAST(d_order_date % 1097 AS INTEGER) AS day FROM draws
+  SELECT *, DATE '{FIRST_DAY}' + CAST({between("d_order_date", (0, days))} AS INTEGER) AS day FROM x{len(ROUNDS)}
 )
 SELECT
-  CAST((d_id_high % 1073741824 * 4294967296 + d_id_low)
-    % (SELECT count(*) // 2 FROM lineitem) + 1 AS VARCHAR) AS transaction_id,
+  CAST((d_id_high * {DRAW_SPAN} + d_id_low)
+    % greatest((SELECT count(*) // 2 FROM lineitem), 1) + 1 AS VARCHAR) AS transaction_id,
   day AS order_date,
-  day + CAST(d_ship_lag % 14 - 3 AS INTEGER) AS ship_date,
-  'CUST' || (d_customer % 200000 + 1) AS customer_id,
-  CAST({pick("d_age_kind", [
-      "d_age % 53 + 18", "d_age % 21 - 10", "d_age % 81 + 120", "NULL"])} AS INTEGER)
-    AS customer_age,
-  {pick("d_gender", [*text("M", "F", "Male", "Female"), "NULL"])} AS gender,
-  'PROD' || (d_product % 50000 + 1) AS product_id,
-  {pick("d_category", categories)} AS product_category,
-  CAST({pick("d_quantity_kind", ["d_quantity % 10 + 1", "0", "d_quantity % 5 - 5"])}
-    AS INTEGER) AS quantity,
-  CAST({pick("d_price_kind", [
-      f"CAST({low} + d_price % {span} AS DOUBLE) / 100",
-      "CAST(-1 AS DOUBLE) - CAST(99 AS DOUBLE) * CAST(d_price AS DOUBLE)"
-      " / CAST(4294967296 AS DOUBLE)",
-      "NULL"])} AS FLOAT) AS unit_price,
-  CAST({pick("d_discount_kind", [
-      "CAST(d_discount % 5001 AS DOUBLE) / 100",
-      "CAST(d_discount % 9001 + 6000 AS DOUBLE) / 100",
-      "NULL"])} AS FLOAT) AS discount_pct,
-  {pick("d_place", cities)} AS city,
-  {pick("d_place", states)} AS state,
-  {pick("d_payment", [*text("Card", "UPI", "COD", "Crypto"), "NULL"])} AS payment_type,
-  {pick("d_status", text("Delivered", "Cancelled", "Returned"))} AS order_status,
+  day + CAST({between("d_ship_lag", SHIP_LAG)} AS INTEGER) AS ship_date,
+  '{CUSTOMER_PREFIX}' || ({between("d_customer", (1, CUSTOMERS))}) AS customer_id,
+  CAST({pick("d_age_kind", [*ages, "NULL"])} AS INTEGER) AS customer_age,
+  {chosen("d_gender", GENDERS)} AS gender,
+  '{PRODUCT_PREFIX}' || ({between("d_product", (1, PRODUCTS))}) AS product_id,
+  {chosen("d_category", list(CATEGORY_PRICES))} AS product_category,
+  CAST({pick("d_quantity_kind", quantities)} AS INTEGER) AS quantity,
+  CAST({pick("d_price_kind", [f"CAST({low} + d_price % {span} AS DOUBLE) / 100", refund, "NULL"])} AS FLOAT)
+    AS unit_price,
+  CAST({pick("d_discount_kind", [*discounts, "NULL"])} AS FLOAT) AS discount_pct,
+  {chosen("d_place", [city for city, _ in PLACES])} AS city,
+  {chosen("d_place", [state for _, state in PLACES])} AS state,
+  {chosen("d_payment", PAYMENTS)} AS payment_type,
+  {chosen("d_status", STATUSES)} AS order_status,
   DATE '2026-01-01' AS ingestion_date
 FROM dated"""
 
@@ -358,8 +323,9 @@ SELECT 'city', city || '|' || state, city_revenue, order_count, avg_order_value,
         "gender": "gender",
         "payment_type": "payment_type",
     }
+    float_amounts = [*TO_SILVER, FLOAT_AMOUNTS]
     amount_columns = "transaction_id, quantity, unit_price, discount_pct"
-    return {
+    found = {
         "bronze_ingest": query([FEED], f"SELECT {RAW_LIST} FROM feed"),
         "layer_row_counts": query(
             TO_SILVER,
@@ -395,6 +361,11 @@ SELECT (SELECT count(*) FROM feed) AS bronze_rows,
             [*TO_CATEGORY, CATEGORY], "SELECT * FROM category"
         ),
         "city_revenue_metrics": query([*TO_CITY, CITY], "SELECT * FROM city_mart"),
+        "daily_sales_metrics_float": query([*float_amounts, BY_DAY, DAILY], "SELECT * FROM daily"),
+        "product_category_performance_float": query(
+            [*float_amounts, BY_CATEGORY, CATEGORY], "SELECT * FROM category"
+        ),
+        "city_revenue_metrics_float": query([*float_amounts, BY_CITY, CITY], "SELECT * FROM city_mart"),
         "sales_cube": query(
             [*TO_AMOUNTS, facts("cube", "order_date, product_category, city, state")],
             "SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM cube",
@@ -457,7 +428,7 @@ SELECT CAST(date_trunc('month', order_date) AS DATE) AS month_start,
                 *TO_DAY,
                 f"""
 averaged AS (
-  SELECT *, CAST({average("amount", "priced_orders")} AS DECIMAL(18,2)) AS aov FROM by_day
+  SELECT *, CAST({average("amount", "priced_orders")} AS DECIMAL(28,2)) AS aov FROM by_day
 ),
 totals AS (
   SELECT CAST(sum(orders) AS BIGINT) AS total_orders, sum(aov) AS aov_sum,
@@ -502,3 +473,4 @@ SELECT (SELECT states FROM state_total) AS total_states,
             "SELECT city, state, CAST(amount AS DOUBLE) AS city_revenue FROM by_city",
         ),
     }
+    return found | {f"cube_{report.__name__}": found[report.__name__] for report in REPORTS}

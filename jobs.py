@@ -20,8 +20,10 @@ from tallymart import (
     FLOAT,
     Layout,
     run_bronze,
+    run_dq_report,
     run_gold,
     run_pipeline,
+    run_reports,
     run_silver,
     synth_sales,
     write_raw_csv,
@@ -46,11 +48,23 @@ def parser() -> argparse.ArgumentParser:
     gold.add_argument("--city-output", required=True)
     gold.add_argument("--cube-output", required=True)
 
+    reports = jobs.add_parser("reports", help="the stored cube to the report tables")
+    quality = jobs.add_parser("dq-report", help="bronze to the data quality report")
+    for job in (reports, quality):
+        job.add_argument("--input", required=True)
+        job.add_argument("--output", required=True)
+
     pipeline = jobs.add_parser("pipeline", help="all three stages")
     pipeline.add_argument("--root", required=True, help="folder of the layers")
     pipeline.add_argument("--raw", help="raw CSV, if not in its usual place under root")
     pipeline.add_argument("--bronze-files", type=int)
     pipeline.add_argument("--silver-files", type=int)
+    for job in (bronze, pipeline):
+        job.add_argument(
+            "--by-position",
+            action="store_true",
+            help="load columns by position, whatever the header says",
+        )
     for job in (silver, pipeline):
         job.add_argument("--order-by", nargs="+", help="columns that pick the copy to keep")
     for job in (gold, pipeline):
@@ -60,6 +74,7 @@ def parser() -> argparse.ArgumentParser:
     generate.add_argument("--output", required=True)
     generate.add_argument("--rows", type=int, default=4_000_000)
     generate.add_argument("--seed", type=int, default=0)
+    generate.add_argument("--files", type=int, help="number of files; follows --rows without it")
     generate.add_argument(
         "--ingestion-date", type=dt.date.fromisoformat, default=dt.date.today()
     )
@@ -73,9 +88,9 @@ def main(arguments: Sequence[str] | None = None) -> None:
     print(json.dumps({"job": args.job, **(result or {})}))
 
 
-def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, int] | None:
+def run(spark: SparkSession, args: argparse.Namespace) -> dict | None:
     if args.job == "bronze":
-        return run_bronze(spark, args.input, args.output, args.files)
+        return run_bronze(spark, args.input, args.output, args.files, not args.by_position)
     if args.job == "silver":
         return run_silver(spark, args.input, args.output, args.files, args.order_by)
     if args.job == "gold":
@@ -91,9 +106,19 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, int] | None:
     if args.job == "pipeline":
         layout = Layout.under(args.root, args.raw)
         return run_pipeline(
-            spark, layout, args.bronze_files, args.silver_files, args.mode, args.order_by
+            spark,
+            layout,
+            args.bronze_files,
+            args.silver_files,
+            args.mode,
+            args.order_by,
+            not args.by_position,
         )
-    sales = synth_sales(spark, args.rows, args.ingestion_date, args.seed)
+    if args.job == "reports":
+        return {"reports": run_reports(spark, args.input, args.output)}
+    if args.job == "dq-report":
+        return run_dq_report(spark, args.input, args.output)
+    sales = synth_sales(spark, args.rows, args.ingestion_date, args.seed, args.files)
     write_raw_csv(sales, args.output)
     return {"rows": args.rows}
 

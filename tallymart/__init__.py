@@ -15,8 +15,10 @@ from tallymart.operators.rules import SALES_RULES, Rule, apply_rules, dq_report
 from tallymart.plans.pipeline import (
     Layout,
     run_bronze,
+    run_dq_report,
     run_gold,
     run_pipeline,
+    run_reports,
     run_silver,
 )
 from tallymart.plans.silver import clean
@@ -46,6 +48,8 @@ __all__ = [
     "read_raw_csv",
     "roll_up",
     "run_bronze",
+    "run_dq_report",
+    "run_reports",
     "run_gold",
     "run_pipeline",
     "run_silver",

@@ -9,18 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DRAW_SPAN = 2**32
+#: A prime. Products of two residues fit into 62 bits, so plain bigints do.
+DRAW_SPAN = 2**31 - 1
+
+#: Multipliers and shifts of the rounds; any large residues would do.
+ROUNDS = ((1_597_334_677, 15), (1_103_515_245, 13), (1_812_433_253, 16))
+SEED_STEP, DRAW_STEP, HIGH_STEP = 69_621, 48_271, 39_373
 
 
 def draw(key: str, seed: int, number: int) -> Column:
-    """32 pseudo-random bits as a bigint in ``0 .. 2**32 - 1``."""
-    hashed = F.hash(F.lit(seed), F.lit(number), F.col(key).cast("bigint"))
-    return hashed.cast("bigint").bitwiseAND(F.lit(DRAW_SPAN - 1))
+    """A pseudo-random bigint in ``0 .. DRAW_SPAN - 1``.
+
+    The key's two halves, the seed and the draw number are added up modulo the
+    prime; each round multiplies and folds the high bits onto the low ones.
+    """
+    start = ((seed + 1) * SEED_STEP + (number + 1) * DRAW_STEP * 65_537) % DRAW_SPAN
+    whole = F.col(key).cast("bigint")
+    high = F.floor(whole / F.lit(DRAW_SPAN)).cast("bigint")
+    value = (whole % DRAW_SPAN + high % DRAW_SPAN * HIGH_STEP + F.lit(start)) % DRAW_SPAN
+    for factor, shift in ROUNDS:
+        value = (value * F.lit(factor) + F.lit(number + 1)) % DRAW_SPAN
+        value = value.bitwiseXOR(F.shiftright(value, shift)) % DRAW_SPAN
+    return value
 
 
 def wide(high: Column, low: Column) -> Column:
-    """Two draws as one of 62 bits, for ranges beyond four billion."""
-    return (high % (DRAW_SPAN // 4)) * DRAW_SPAN + low
+    """Two draws as one of more than 61 bits, for ranges beyond two billion."""
+    return high * DRAW_SPAN + low
 
 
 def between(drawn: Column, low: int, high: int) -> Column:

@@ -14,54 +14,60 @@ from pyspark.sql import functions as F
 BANDS_PER_E = 1000
 NULL_BAND = -(10**6)
 
-SLICES = 256  # a power of two
-
 
 def _band(value: str) -> Column:
-    """Coarse band of a value: a larger value never falls into a lower band."""
-    as_double = F.col(value).cast("double")
+    """Coarse band of a value: a larger value never falls into a lower band; NaN is the largest."""
+    exact = F.col(value).cast("double")
+    as_double = F.nanvl(exact, F.lit(0.0))
     size = F.floor(F.log1p(F.abs(as_double)) * F.lit(float(BANDS_PER_E)))
     signed = F.when(as_double < 0, -size - F.lit(1)).otherwise(size)
-    return F.coalesce(signed, F.lit(NULL_BAND)).cast("bigint")
+    known = F.when(F.isnan(exact), F.lit(-NULL_BAND)).otherwise(signed)
+    return F.coalesce(known, F.lit(NULL_BAND)).cast("bigint")
 
 
 def with_rank_desc(df: DataFrame, value: str, name: str) -> DataFrame:
     """Add the 1-based rank of ``value``, largest first, ties sharing a rank, nulls last.
 
     A plain ``rank().over(orderBy)`` moves the whole table into one task. Here
-    rows are ranked inside narrow value bands, and only the per-band row
+    equal values, nulls among them, are counted first, which combines per task;
+    distinct values are ranked inside narrow value bands, and only the per-band
     counts, whose number has a fixed bound, are summed up in order.
     """
-    banded = df.withColumn("_band", _band(value))
-    higher_bands = Window.orderBy(F.desc("_band")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    distinct = df.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    banded = distinct.withColumn("_band", _band("_value"))
+    higher_bands = Window.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
     ahead = (
         banded.groupBy("_band")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .agg(F.sum("_rows").alias("_rows"))
         .select(
             F.col("_band").alias("_band_ahead"),
             F.coalesce(F.sum("_rows").over(higher_bands), F.lit(0)).alias("_ahead"),
         )
     )
-    within = Window.partitionBy("_band").orderBy(F.desc_nulls_last(value))
-    return (
-        banded.withColumn("_within", F.rank().over(within))
+    larger = (
+        Window.partitionBy("_band")
+        .orderBy(F.desc_nulls_last("_value"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    ranks = (
+        banded.withColumn("_within", F.coalesce(F.sum("_rows").over(larger), F.lit(0)) + F.lit(1))
         .join(ahead, F.col("_band") == F.col("_band_ahead"))
-        .withColumn(name, (F.col("_ahead") + F.col("_within")).cast("bigint"))
-        .select(*df.columns, name)
+        .select("_value", (F.col("_ahead") + F.col("_within")).cast("bigint").alias(name))
     )
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("_value"))).select(*df.columns, name)
 
 
 def with_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Add the sum of ``value`` over all rows; ``key`` is any column that varies.
 
-    Sums go through a fixed number of slices, and only those are added up in
-    one task.
+    Sums go through slices, more than the session has shuffle partitions and at
+    most twice as many, and only those are added up in one task.
     """
     # Never null by its form: a null check on one side would keep Spark from
     # seeing that both sides have the same input.
-    sliced = df.withColumn("_slice", F.xxhash64(key).bitwiseAND(F.lit(SLICES - 1)))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mask = (1 << partitions.bit_length()) - 1
+    sliced = df.withColumn("_slice", F.xxhash64(key).bitwiseAND(F.lit(mask)))
     totals = (
         sliced.groupBy("_slice")
         .agg(F.sum(value).alias("_sum"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallymart.functions import money
 from tallymart.schema import BUSINESS_KEY
@@ -21,24 +20,30 @@ CUBE_KEYS = ("order_date", "product_category", "city", "state")
 def with_total_amount(silver: DataFrame, mode: str = money.EXACT) -> DataFrame:
     """Add ``total_amount``: quantity times price less discount, to the cent.
 
-    Null if any input is null. ``exact`` is decimal arithmetic; ``float`` is
-    the binary floating-point formula, for results to the last bit of it.
+    Null if any input is null. ``exact`` is decimal arithmetic on the digits of
+    the inputs; ``float`` is the binary floating-point formula to the last bit of it.
     """
     formulas = {money.EXACT: money.exact_amount, money.FLOAT: money.float_amount}
     amount = formulas[mode]("quantity", "unit_price", "discount_pct")
     return silver.withColumn("total_amount", amount)
 
 
+PRICED_FROM = ("quantity", "unit_price", "discount_pct")
+
+
 def facts(rows: DataFrame, *keys: str) -> DataFrame:
     """Additive measures of cleaned rows with ``total_amount``, one row per ``keys``.
 
     ``orders`` counts rows with a transaction id, ``priced_orders`` rows with
-    an amount. The sums combine per map task before the shuffle, so a key that
-    holds most rows sends one row per task like any other.
+    an amount, ``unpriceable`` rows whose inputs are there but give no number of
+    cents. Amounts are summed as exact cents in either mode, so a sum does not
+    depend on partitions. The sums combine per map task before the shuffle, so a
+    key that holds most rows sends one row per task like any other.
     """
     return rows.groupBy(*keys).agg(
-        F.sum("total_amount").alias("amount"),
+        F.sum(money.in_cents("total_amount")).alias("amount"),
         F.count("total_amount").alias("priced_orders"),
+        F.count_if(money.unpriceable("total_amount", *PRICED_FROM)).alias("unpriceable"),
         F.count(BUSINESS_KEY).alias("orders"),
         F.sum("quantity").alias("units"),
     )
@@ -49,31 +54,35 @@ def roll_up(finer: DataFrame, *keys: str) -> DataFrame:
     return finer.groupBy(*keys).agg(
         F.sum("amount").alias("amount"),
         F.sum("priced_orders").alias("priced_orders"),
+        F.sum("unpriceable").alias("unpriceable"),
         F.sum("orders").alias("orders"),
         F.sum("units").alias("units"),
     )
 
 
+def revenue(amount: str = "amount") -> Column:
+    """The published revenue of a row of facts."""
+    return money.published(F.col(amount), F.col("unpriceable"))
+
+
 def sales_cube(rows: DataFrame) -> DataFrame:
     """Facts by day, category and place: the one table all marts and reports follow from."""
     return facts(rows, *CUBE_KEYS)
 
 
-def average_order_value(df: DataFrame) -> Column:
-    """Amount per priced order, to the cent; null where nothing was priced."""
-    if isinstance(df.schema["amount"].dataType, T.DecimalType):
-        return money.rounded_average(F.col("amount"), F.col("priced_orders"))
-    priced = F.nullif(F.col("priced_orders"), F.lit(0))
-    return F.round(F.col("amount") / priced, 2)
+def average_order_value() -> Column:
+    """Amount per priced order, to the cent; null where nothing was priced, NaN if a row could not be."""
+    average = money.rounded_average(F.col("amount"), F.col("priced_orders"))
+    return F.when(F.col("unpriceable") > 0, F.lit(float("nan"))).otherwise(average)
 
 
 def daily_mart(by_day: DataFrame) -> DataFrame:
     """Revenue, orders and average order value per day, from facts by ``order_date``."""
     return by_day.select(
         "order_date",
-        money.published(F.col("amount")).alias("daily_total_revenue"),
+        revenue().alias("daily_total_revenue"),
         F.col("orders").alias("daily_total_orders"),
-        average_order_value(by_day).alias("daily_avg_order_value"),
+        average_order_value().alias("daily_avg_order_value"),
     )
 
 
@@ -81,7 +90,7 @@ def category_mart(by_category: DataFrame) -> DataFrame:
     """Revenue, units and orders per category, from facts by ``product_category``."""
     return by_category.select(
         "product_category",
-        money.published(F.col("amount")).alias("category_revenue"),
+        revenue().alias("category_revenue"),
         F.col("units").alias("total_units_sold"),
         F.col("orders").alias("order_count"),
     )
@@ -92,7 +101,7 @@ def city_mart(by_city: DataFrame) -> DataFrame:
     return by_city.select(
         "city",
         "state",
-        money.published(F.col("amount")).alias("city_revenue"),
+        revenue().alias("city_revenue"),
         F.col("orders").alias("order_count"),
-        average_order_value(by_city).alias("avg_order_value"),
+        average_order_value().alias("avg_order_value"),
     )

@@ -1,8 +1,9 @@
 """Report queries on top of the facts.
 
 Each function takes facts that carry at least the keys it names - the stored
-cube or any coarser facts - in exact mode, and rolls them up itself. Where
+cube or any coarser facts, in either money mode - and rolls them up itself. Where
 the input already has the wanted grain and partitioning, that adds no shuffle.
+A figure that a row without price in cents goes into is NaN, not a sum of the rest.
 """
 
 from __future__ import annotations
@@ -12,11 +13,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions import money
 from tallymart.functions.global_windows import with_rank_desc, with_total
-from tallymart.operators.marts import average_order_value, roll_up
-
-
-def _revenue(column: str = "amount") -> Column:
-    return money.published(F.col(column))
+from tallymart.operators.marts import average_order_value, revenue, roll_up
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -26,7 +23,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 def kpi_category_totals(facts: DataFrame) -> DataFrame:
     """Total revenue, orders and units."""
     return roll_up(facts).select(
-        _revenue().alias("category_revenue"),
+        revenue().alias("category_revenue"),
         F.col("orders").alias("total_orders"),
         F.col("units").alias("total_sold_units"),
     )
@@ -44,10 +41,10 @@ def category_order_share(facts: DataFrame) -> DataFrame:
 
 def category_revenue_rank(facts: DataFrame) -> DataFrame:
     """Categories ranked by revenue, largest first."""
-    by_category = roll_up(facts, "product_category").select("product_category", "amount")
-    return with_rank_desc(by_category, "amount", "revenue_rank").select(
-        "product_category", _revenue().alias("category_revenue"), "revenue_rank"
+    by_category = roll_up(facts, "product_category").select(
+        "product_category", revenue().alias("category_revenue")
     )
+    return with_rank_desc(by_category, "category_revenue", "revenue_rank")
 
 
 def category_units_revenue(facts: DataFrame) -> DataFrame:
@@ -55,19 +52,21 @@ def category_units_revenue(facts: DataFrame) -> DataFrame:
     return roll_up(facts, "product_category").select(
         "product_category",
         F.col("units").alias("total_units_sold"),
-        _revenue().alias("category_revenue"),
+        revenue().alias("category_revenue"),
     )
 
 
 def category_revenue_ratio(facts: DataFrame) -> DataFrame:
     """Revenue of the strongest and weakest category, and how many times larger."""
     extremes = roll_up(facts, "product_category").agg(
-        F.max("amount").alias("top"), F.min("amount").alias("bottom")
+        F.max("amount").alias("top"),
+        F.min("amount").alias("bottom"),
+        F.sum("unpriceable").alias("unpriceable"),
     )
     return extremes.select(
-        _revenue("top").alias("top_revenue"),
-        _revenue("bottom").alias("bottom_revenue"),
-        _ratio(F.col("top"), F.col("bottom")).alias("revenue_ratio"),
+        revenue("top").alias("top_revenue"),
+        revenue("bottom").alias("bottom_revenue"),
+        _ratio(revenue("top"), revenue("bottom")).alias("revenue_ratio"),
     )
 
 
@@ -83,7 +82,7 @@ def monthly_orders(facts: DataFrame) -> DataFrame:
 
 def monthly_revenue(facts: DataFrame) -> DataFrame:
     """Revenue per month of the year, all years together."""
-    return _by_month_of_year(facts).select("month", _revenue().alias("total_revenue"))
+    return _by_month_of_year(facts).select("month", revenue().alias("total_revenue"))
 
 
 def calendar_month_trend(facts: DataFrame) -> DataFrame:
@@ -92,7 +91,7 @@ def calendar_month_trend(facts: DataFrame) -> DataFrame:
     return roll_up(with_month, "month_start").select(
         "month_start",
         F.col("orders").alias("total_orders"),
-        _revenue().alias("total_revenue"),
+        revenue().alias("total_revenue"),
     )
 
 
@@ -103,21 +102,30 @@ def kpi_daily(facts: DataFrame) -> DataFrame:
     shows; the mean over days with revenue is what that name says.
     """
     by_day = roll_up(facts, "order_date")
-    per_day = by_day.withColumn(
-        "aov", average_order_value(by_day).cast("decimal(18,2)")
-    )
-    return per_day.agg(
-        F.sum("orders").alias("total_orders"),
-        F.sum("aov").alias("aov_sum"),
-        F.sum("amount").alias("amount"),
-        F.count("amount").alias("days"),
-    ).select(
-        "total_orders",
-        _revenue("aov_sum").alias("sum_of_daily_avg_order_value"),
-        money.rounded_average(F.col("amount"), F.col("days")).alias("mean_daily_revenue"),
+    average = money.rounded_average(F.col("amount"), F.col("priced_orders")).cast("decimal(28,2)")
+    return (
+        by_day.withColumn("aov", average)
+        .agg(
+            F.sum("orders").alias("total_orders"),
+            F.sum("aov").alias("aov_sum"),
+            F.sum("amount").alias("amount"),
+            F.count("amount").alias("days"),
+            F.sum("unpriceable").alias("unpriceable"),
+        )
+        .select(
+            "total_orders",
+            revenue("aov_sum").alias("sum_of_daily_avg_order_value"),
+            _mean("days").alias("mean_daily_revenue"),
+        )
     )
 
 
+def _mean(count: str) -> Column:
+    """``amount`` by a count of its groups, NaN if a row in it could not be priced."""
+    mean = money.rounded_average(F.col("amount"), F.col(count))
+    return F.when(F.col("unpriceable") > 0, F.lit(float("nan"))).otherwise(mean)
+
+
 def state_metrics(facts: DataFrame) -> DataFrame:
     """Revenue, orders, cities and average order value per state.
 
@@ -128,15 +136,16 @@ def state_metrics(facts: DataFrame) -> DataFrame:
     by_state = by_city.groupBy("state").agg(
         F.sum("amount").alias("amount"),
         F.sum("priced_orders").alias("priced_orders"),
+        F.sum("unpriceable").alias("unpriceable"),
         F.sum("orders").alias("order_count"),
         F.sum("cities").alias("city_count"),
     )
     return by_state.select(
         "state",
-        _revenue().alias("state_revenue"),
+        revenue().alias("state_revenue"),
         "order_count",
         "city_count",
-        average_order_value(by_state).alias("avg_order_value"),
+        average_order_value().alias("avg_order_value"),
     )
 
 
@@ -150,26 +159,44 @@ def kpi_states(facts: DataFrame) -> DataFrame:
     by_state = (
         roll_up(facts, "city", "state")
         .groupBy("state")
-        .agg(F.sum("amount").alias("amount"), F.count("amount").alias("priced_cities"))
+        .agg(
+            F.sum("amount").alias("amount"),
+            F.count("amount").alias("priced_cities"),
+            F.sum("unpriceable").alias("unpriceable"),
+        )
     )
     return by_state.agg(
         F.count("state").alias("total_states"),
         F.sum("amount").alias("amount"),
         F.sum("priced_cities").alias("priced_cities"),
         F.count("amount").alias("priced_states"),
+        F.sum("unpriceable").alias("unpriceable"),
     ).select(
         "total_states",
-        money.rounded_average(F.col("amount"), F.col("priced_cities")).alias(
-            "avg_revenue_per_city_row"
-        ),
-        money.rounded_average(F.col("amount"), F.col("priced_states")).alias(
-            "avg_revenue_per_state"
-        ),
+        _mean("priced_cities").alias("avg_revenue_per_city_row"),
+        _mean("priced_states").alias("avg_revenue_per_state"),
     )
 
 
 def city_revenue_bubble(facts: DataFrame) -> DataFrame:
     """City, state and revenue."""
     return roll_up(facts, "city", "state").select(
-        "city", "state", _revenue().alias("city_revenue")
+        "city", "state", revenue().alias("city_revenue")
     )
+
+
+#: Every report, in the order of the definitions.
+REPORTS = (
+    kpi_category_totals,
+    category_order_share,
+    category_revenue_rank,
+    category_units_revenue,
+    category_revenue_ratio,
+    monthly_orders,
+    monthly_revenue,
+    calendar_month_trend,
+    kpi_daily,
+    state_metrics,
+    kpi_states,
+    city_revenue_bubble,
+)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tallymart.functions import money
 from tallymart.operators import marts
+from tallymart.operators.rollups import REPORTS
+from tallymart.operators.rules import dq_report
 from tallymart.plans.silver import finish, surviving_copies
 from tallymart.plans.sizing import scan_sized, shuffle_sized
 from tallymart.schema import BUSINESS_KEY, RAW_SCHEMA
@@ -89,19 +91,23 @@ def run_silver(
 ) -> dict[str, int]:
     """Bronze to cleaned Parquet in one job with one shuffle. Returns row counts.
 
-    With ``files`` a second shuffle by transaction id, unique by then, makes
-    that many even files.
+    With ``files`` that shuffle has as many partitions, each written as one file. The
+    bronze count is a scan without columns: counting on the way to the shuffle would
+    count the rows of a repeated task twice.
     """
     assert_apart([input], [output])
-    with shuffle_sized(spark, input):
+    delivered = read_layer(spark, input, RAW_SCHEMA).count()
+    with shuffle_sized(spark, input, files):
         bronze = read_layer(spark, input, RAW_SCHEMA)
         survivors = surviving_copies(bronze, order_by)
-        if files is not None:
-            survivors = survivors.repartition(files, BUSINESS_KEY)
         survivors, kept = _counted(survivors, "deduplicated")
         silver, cleaned = _counted(finish(survivors), "silver")
         write_layer(silver, output)
-    return {"deduplicated": kept.get["rows"], "silver": cleaned.get["rows"]}
+    return {
+        "bronze": delivered,
+        "deduplicated": kept.get["rows"],
+        "silver": cleaned.get["rows"],
+    }
 
 
 def run_gold(
@@ -112,17 +118,20 @@ def run_gold(
     city_output: str,
     cube_output: str,
     mode: str = money.EXACT,
-) -> None:
+) -> dict[str, int]:
     """Silver to the sales cube and, from it, the three marts.
 
-    Silver is scanned once; the marts read the much smaller stored cube.
+    Silver is scanned once; the marts read the much smaller stored cube. A scan task
+    sends at most one row for each cell of the cube, so the reducers are the session's,
+    merged by adaptive execution, and do not grow with silver. Returns how many rows
+    could not be priced.
     """
     assert_apart([input], [daily_output, category_output, city_output, cube_output])
-    with shuffle_sized(spark, input):
+    with scan_sized(spark, input):
         silver = read_layer(spark, input, RAW_SCHEMA)
         rows = marts.with_total_amount(silver, mode)
         write_layer(marts.sales_cube(rows), cube_output)
-    with shuffle_sized(spark, cube_output):
+    with scan_sized(spark, cube_output):
         cube = read_layer(spark, cube_output)
         by_day = marts.roll_up(cube, "order_date")
         write_layer(marts.daily_mart(by_day), daily_output)
@@ -130,6 +139,26 @@ def run_gold(
         write_layer(marts.category_mart(by_category), category_output)
         by_city = marts.roll_up(cube, "city", "state")
         write_layer(marts.city_mart(by_city), city_output)
+        lost = marts.roll_up(cube).first()["unpriceable"]
+    return {"unpriceable": lost or 0}
+
+
+def run_reports(spark: SparkSession, input: str, output: str) -> list[str]:
+    """The stored cube to one folder for each report query below ``output``; returns their names."""
+    assert_apart([input], [output])
+    with scan_sized(spark, input):
+        cube = read_layer(spark, input)
+        for report in REPORTS:
+            write_layer(report(cube), f"{output.rstrip('/')}/{report.__name__}")
+    return [report.__name__ for report in REPORTS]
+
+
+def run_dq_report(spark: SparkSession, input: str, output: str) -> None:
+    """Stored bronze to the data quality report."""
+    assert_apart([input], [output])
+    with shuffle_sized(spark, input):
+        bronze = read_layer(spark, input, RAW_SCHEMA)
+        write_layer(dq_report(bronze, BUSINESS_KEY), output)
 
 
 def run_pipeline(
@@ -139,11 +168,12 @@ def run_pipeline(
     silver_files: int | None = None,
     mode: str = money.EXACT,
     order_by: Sequence[str] | None = None,
+    check_header: bool = True,
 ) -> dict[str, int]:
     """All three stages in order; an error in one keeps the next from starting."""
-    counts = run_bronze(spark, layout.raw, layout.bronze, bronze_files)
+    counts = run_bronze(spark, layout.raw, layout.bronze, bronze_files, check_header)
     counts |= run_silver(spark, layout.bronze, layout.silver, silver_files, order_by)
-    run_gold(
+    counts |= run_gold(
         spark,
         layout.silver,
         layout.daily,

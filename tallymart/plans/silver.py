@@ -52,23 +52,29 @@ def layer_counts(
     order_by: Sequence[str] | None = None,
     rules: Sequence[Rule] = SALES_RULES,
 ) -> DataFrame:
-    """Rows as delivered, after deduplication and after all rules, in one pass.
+    """Rows as delivered, after deduplication and after all rules.
 
-    Per transaction only the number of copies and the fate of the surviving
-    one are kept, combined per map task before the shuffle.
+    With one ordering column, the default, only the number of copies and the fate
+    of the surviving one are kept per transaction, combined per map task before the
+    shuffle, in one pass. Several columns have no hash aggregate for their smallest
+    row; then the deduplication runs over key, fate and ordering columns, and a
+    second scan without columns counts the rows.
     """
     ordered, ordering = with_order(bronze, BUSINESS_KEY, order_by)
-    per_key = (
-        ordered.withColumn(DROPPED, dropped_by(rules))
-        .groupBy(BUSINESS_KEY)
-        .agg(
+    flagged = ordered.withColumn(DROPPED, dropped_by(rules))
+    if len(ordering) == 1:
+        per_key = flagged.groupBy(BUSINESS_KEY).agg(
             F.count(F.lit(1)).alias("copies"),
-            F.min_by(DROPPED, F.struct(*ordering)).alias(DROPPED),
+            F.min_by(DROPPED, F.col(ordering[0])).alias(DROPPED),
         )
-    )
+    else:
+        narrow = flagged.select(*dict.fromkeys([BUSINESS_KEY, *ordering, DROPPED]))
+        survivors = dedup(narrow, BUSINESS_KEY, ordering).select(F.lit(0).alias("copies"), DROPPED)
+        total = bronze.agg(F.count(F.lit(1)).alias("copies"))
+        per_key = survivors.unionByName(total.withColumn(DROPPED, F.lit(None).cast("boolean")))
     return per_key.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("bronze_rows"),
-        F.count(F.lit(1)).alias("deduplicated_rows"),
+        F.count(DROPPED).alias("deduplicated_rows"),
         F.count_if(~F.col(DROPPED)).alias("silver_rows"),
     )
 

@@ -17,15 +17,16 @@ from pyspark.sql import functions as F
 MB = 2**20
 SCAN = "spark.sql.files.maxPartitionBytes"
 SHUFFLE = "spark.sql.shuffle.partitions"
+COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 
 # Measured on the sales feed: a byte of compressed Parquet becomes two to four
 # bytes of shuffled rows.
 SHUFFLED_PER_STORED = 4
 
-# Shuffled bytes per task. Below the lower bound tasks are not worth starting,
-# above the upper one a sort spills more than once.
+# Shuffled bytes per task. Below the lower bound tasks are not worth starting. The
+# upper one is reached at 500 TB of stored rows; sorts and windows of that size spill.
 MIN_PARTITION_BYTES = 128 * MB
-MAX_PARTITION_BYTES = 2048 * MB
+MAX_PARTITION_BYTES = 8192 * MB
 MIN_BLOCK_BYTES = 32 * 2**10
 
 # Text bytes per task where splits are written as they are read: files of a
@@ -75,11 +76,15 @@ def scan_sized(spark: SparkSession, path: str) -> Iterator[None]:
 
 
 @contextmanager
-def shuffle_sized(spark: SparkSession, path: str) -> Iterator[None]:
+def shuffle_sized(spark: SparkSession, path: str, partitions: int | None = None) -> Iterator[None]:
     """Run a job that shuffles the Parquet rows of ``path`` with partitions of a fitting size.
 
-    Never fewer shuffle partitions than the session has.
+    Never fewer shuffle partitions than the session has; with ``partitions``, exactly so many.
     """
+    if partitions is not None:
+        with _settings(spark, {SHUFFLE: partitions, COALESCE: "false"}):
+            yield
+        return
     shuffled = dataset_bytes(spark, path) * SHUFFLED_PER_STORED
     size = partition_bytes(shuffled)
     partitions = max(ceil(shuffled / size), int(spark.conf.get(SHUFFLE)))
@@ -88,7 +93,7 @@ def shuffle_sized(spark: SparkSession, path: str) -> Iterator[None]:
 
 
 @contextmanager
-def _settings(spark: SparkSession, settings: dict[str, int]) -> Iterator[None]:
+def _settings(spark: SparkSession, settings: dict[str, int | str]) -> Iterator[None]:
     before = {name: spark.conf.get(name) for name in settings}
     try:
         for name, value in settings.items():

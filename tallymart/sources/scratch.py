@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+CHECKPOINTS = "spark.checkpoint.dir"
+_OWNED: set[str] = set()
+_LOCAL: dict[str, str] = {}
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table below the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session
-    that sets none gets a temporary folder of this machine, as in tests; on a
-    cluster that is an error, since other machines could not read it.
+    The folder is the session's ``spark.checkpoint.dir``; a session that sets none may
+    only be a local one, which gets a folder of its own, since other machines could
+    not read it. All paths of an application lie below one folder, which is its own
+    and is deleted when its driver ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get(CHECKPOINTS, None)
     if base is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tallymart-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINTS} to a folder all executors share")
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL:
+            _LOCAL[application] = tempfile.mkdtemp(prefix="tallymart-")
+        base = _LOCAL[application]
+    own = f"{base.rstrip('/')}/tallymart-{spark.sparkContext.applicationId}"
+    if own not in _OWNED:
+        _OWNED.add(own)
+        atexit.register(_delete, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder through its own file system, if the session still runs."""
+    context = spark.sparkContext
+    if context._jsc is None:
+        return
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

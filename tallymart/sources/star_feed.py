@@ -100,10 +100,12 @@ def star_feed(spark: SparkSession, folder: str) -> DataFrame:
         .when(k % 3 == 1, F.lit(0))
         .otherwise((F.lit(-1) - k % 5).cast("int")),
         "unit_price": F.when(k % 7 == 0, -F.col("p_retailprice"))
+        .when(k % 7 == 3, F.col("p_retailprice") + F.lit(0.005))
         .when(k % 7 > 1, F.col("p_retailprice"))
         .cast("float"),
         "discount_pct": F.when(k % 11 == 0, between(k, 60, 150).cast("double"))
         .when(k % 11 == 2, F.lit(-1.0))
+        .when(k % 11 == 3, F.col("l_discount") * 100 + F.lit(0.345))
         .when(k % 11 > 2, F.col("l_discount") * 100)
         .cast("float"),
         "city": F.col("n_name"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallymart.functions.draws import DRAW_SPAN, between, draw, pick, wide
 from tallymart.schema import RAW_SCHEMA
 
-# The generated feed's places, price ranges, labels and date range.
+# The generated feed's places, prefixes, ranges, labels and date range.
 PLACES = [
     ("New York", "NY"),
     ("Los Angeles", "CA"),
@@ -42,6 +42,14 @@ FIRST_DAY = dt.date(2023, 1, 1)
 LAST_DAY = dt.date(2026, 1, 1)
 CUSTOMERS = 200_000
 PRODUCTS = 50_000
+CUSTOMER_PREFIX, PRODUCT_PREFIX = "CUST", "PROD"
+SHIP_LAG = (-3, 10)
+AGE, LOW_AGE, HIGH_AGE = (18, 70), (-10, 10), (120, 200)
+QUANTITY, LOW_QUANTITY = (1, 10), (-5, -1)
+REFUND = (1, 100)
+DISCOUNT, HIGH_DISCOUNT = (0, 50), (60, 150)
+
+ROWS_PER_TASK = 2_000_000
 
 # The draws of a row; a draw's number is its position.
 DRAWS = (
@@ -76,9 +84,12 @@ def synth_sales(
 ) -> DataFrame:
     """``n`` dirty sales rows with about two rows per transaction id.
 
-    The same ``n`` and ``seed`` give the same rows on any cluster.
+    The same ``n`` and ``seed`` give the same rows on any cluster, whatever the number
+    of partitions; without one it follows ``n``.
     """
-    keys = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+    if partitions is None:
+        partitions = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK))
+    keys = spark.range(0, n, 1, partitions)
     return dirty_sales(keys, "id", F.lit(max(n // 2, 1)), ingestion_date, seed)
 
 
@@ -94,7 +105,8 @@ def dirty_sales(
     lows = [low * 100 for low, _ in CATEGORY_PRICES.values()]
     cents = [(high - low) * 100 + 1 for low, high in CATEGORY_PRICES.values()]
     list_price = pick(d("category"), lows) + d("price") % pick(d("category"), cents)
-    refund = F.lit(-1.0) - F.lit(99.0) * d("price") / F.lit(float(DRAW_SPAN))
+    least, most = map(float, REFUND)
+    refund = F.lit(-least) - F.lit(most - least) * d("price") / F.lit(float(DRAW_SPAN))
 
     order_date = F.date_add(
         F.lit(FIRST_DAY),
@@ -103,31 +115,31 @@ def dirty_sales(
     columns = {
         "transaction_id": (wide(d("id_high"), d("id_low")) % ids + 1).cast("string"),
         "order_date": order_date,
-        "ship_date": F.date_add(order_date, between(d("ship_lag"), -3, 10).cast("int")),
-        "customer_id": _numbered("CUST", d("customer"), CUSTOMERS),
+        "ship_date": F.date_add(order_date, between(d("ship_lag"), *SHIP_LAG).cast("int")),
+        "customer_id": _numbered(CUSTOMER_PREFIX, d("customer"), CUSTOMERS),
         "customer_age": _one_of(
             d("age_kind"),
-            between(d("age"), 18, 70),
-            between(d("age"), -10, 10),
-            between(d("age"), 120, 200),
+            between(d("age"), *AGE),
+            between(d("age"), *LOW_AGE),
+            between(d("age"), *HIGH_AGE),
             F.lit(None),
         ),
         "gender": pick(d("gender"), GENDERS),
-        "product_id": _numbered("PROD", d("product"), PRODUCTS),
+        "product_id": _numbered(PRODUCT_PREFIX, d("product"), PRODUCTS),
         "product_category": pick(d("category"), categories),
         "quantity": _one_of(
             d("quantity_kind"),
-            between(d("quantity"), 1, 10),
+            between(d("quantity"), *QUANTITY),
             F.lit(0),
-            between(d("quantity"), -5, -1),
+            between(d("quantity"), *LOW_QUANTITY),
         ),
         "unit_price": _one_of(
             d("price_kind"), _hundredths(list_price), refund, F.lit(None)
         ),
         "discount_pct": _one_of(
             d("discount_kind"),
-            _hundredths(between(d("discount"), 0, 5000)),
-            _hundredths(between(d("discount"), 6000, 15000)),
+            _hundredths(between(d("discount"), *(100 * x for x in DISCOUNT))),
+            _hundredths(between(d("discount"), *(100 * x for x in HIGH_DISCOUNT))),
             F.lit(None),
         ),
         "city": pick(d("place"), [city for city, _ in PLACES]),

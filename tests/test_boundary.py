@@ -136,9 +136,9 @@ def test_amounts_round_half_up_and_survive_absurd_prices(session):
     assert exact == [
         Decimal("5.03"),
         Decimal("53.67"),
+        None,  # above 1e26
         None,
-        None,
-        None,  # above what decimal(18,2) holds
+        Decimal(2147483647 * 9999999),
         Decimal(2147483647 * 999999),
         None,
     ]
@@ -148,6 +148,21 @@ def test_amounts_round_half_up_and_survive_absurd_prices(session):
     assert floats[6] is None
 
 
+def test_amounts_keep_the_digits_of_their_inputs(session):
+    df = session.sql(
+        """SELECT 0 AS n, t.* FROM VALUES
+        (1000, CAST(19.995 AS FLOAT), CAST(0 AS FLOAT)),
+        (100, CAST(99.99 AS FLOAT), CAST(12.345 AS FLOAT)),
+        (1, CAST(2e10 AS FLOAT), CAST(0 AS FLOAT)),
+        (7, CAST(0.004 AS FLOAT), CAST(10 AS FLOAT))
+        AS t(quantity, unit_price, discount_pct)"""
+    )
+    found = [r.total_amount for r in with_total_amount(df).collect()]
+    assert found == [Decimal("19995.00"), Decimal("8764.62"), Decimal("20000000000.00"), Decimal("0.03")]
+    many = session.range(1000).crossJoin(df.where("quantity = 7")).withColumn("transaction_id", F.lit("t"))
+    assert facts(with_total_amount(many), "n").first().amount == Decimal("30.00")
+
+
 def test_float_mode_keeps_nan_in_the_sums(session, bronze):
     silver = with_total_amount(clean(bronze, rows.ORDER), "float")
     nan_row = silver.withColumn("discount_pct", F.lit(0.0).cast("float"))

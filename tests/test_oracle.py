@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as registry
+from checks import star_sql
 from tests.compare import assert_same, duck
 from tests.conftest import TESTDATA
 
@@ -16,7 +17,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(star_sql.registered()))
 def test_matches_sql(spark, con, name):
     df = registry.queries()[name](spark, str(FOLDER))
     assert assert_same(df, con, registry.oracle_sql()[name]) > 0

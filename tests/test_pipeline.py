@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import math
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -20,8 +22,13 @@ from tallymart import (
     run_gold,
     run_pipeline,
     run_silver,
+    sales_cube,
+    synth_sales,
     with_total_amount,
+    write_layer,
 )
+from tallymart.operators import rollups
+from tallymart.plans import pipeline
 from tallymart.schema import CATEGORY_SCHEMA, CITY_SCHEMA, DAILY_SCHEMA, RAW_SCHEMA
 from tests import rows
 
@@ -48,7 +55,7 @@ EXPECTED = {
 def test_pipeline_counts_layers_and_marts(spark, tmp_path, files):
     layout = Layout.under(str(tmp_path), raw=rows.write_csv(tmp_path))
     counts = run_pipeline(spark, layout, *files, order_by=rows.ORDER)
-    assert counts == {"bronze": 14, "deduplicated": 13, "silver": 9}
+    assert counts == {"bronze": 14, "deduplicated": 13, "silver": 9, "unpriceable": 0}
     bronze = read_layer(spark, layout.bronze, RAW_SCHEMA)
     assert bronze.count() == 14
     assert read_layer(spark, layout.silver, RAW_SCHEMA).count() == 9
@@ -78,7 +85,7 @@ def test_windows_line_ends_and_several_files(spark, tmp_path):
 def test_a_feed_without_rows_gives_empty_marts(spark, tmp_path):
     layout = Layout.under(str(tmp_path), raw=rows.write_csv(tmp_path, rows=[]))
     counts = run_pipeline(spark, layout)
-    assert counts == {"bronze": 0, "deduplicated": 0, "silver": 0}
+    assert counts == {"bronze": 0, "deduplicated": 0, "silver": 0, "unpriceable": 0}
     assert marts_of(spark, layout) == {"daily": set(), "category": set(), "city": set()}
 
 
@@ -138,10 +145,52 @@ def test_command_line_stages(spark, tmp_path, capsys):
     )
     printed = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
     assert printed[0] == {"job": "bronze", "bronze": 14}
-    assert printed[1] == {"job": "silver", "deduplicated": 13, "silver": 9}
+    assert printed[1] == {"job": "silver", "bronze": 14, "deduplicated": 13, "silver": 9}
+    assert printed[2] == {"job": "gold", "unpriceable": 0}
     assert marts_of(spark, layout) == EXPECTED
 
 
+def test_command_line_reports_and_quality(spark, tmp_path, capsys):
+    layout = Layout.under(str(tmp_path), raw=rows.write_csv(tmp_path))
+    run_pipeline(spark, layout, order_by=rows.ORDER)
+    jobs.main(["reports", "--input", layout.cube, "--output", str(tmp_path / "reports")])
+    names = json.loads(capsys.readouterr().out.splitlines()[-1])["reports"]
+    assert len(names) == 12
+    bubble = read_layer(spark, str(tmp_path / "reports" / "city_revenue_bubble"))
+    assert {tuple(r) for r in bubble.collect()} == {(*k, v[0]) for k, v in rows.CITY.items()}
+    jobs.main(["dq-report", "--input", layout.bronze, "--output", str(tmp_path / "dq")])
+    assert read_layer(spark, str(tmp_path / "dq")).count() == 8
+
+
+def test_a_renamed_header_loads_by_position(spark, tmp_path):
+    layout = Layout.under(str(tmp_path), raw=rows.write_csv(tmp_path, "wrong" + rows.HEADER))
+    run_pipeline(spark, layout, order_by=rows.ORDER, check_header=False)
+    assert marts_of(spark, layout) == EXPECTED
+
+
+def test_silver_with_files_has_one_exchange(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(pipeline, "write_layer", lambda df, path: (written.append(df), write_layer(df, path)))
+    bronze = str(tmp_path / "b")
+    write_layer(synth_sales(spark, 20_000, dt.date(2026, 1, 1), partitions=4), bronze)
+    run_silver(spark, bronze, str(tmp_path / "s"), files=5)
+    assert written[0]._jdf.queryExecution().executedPlan().toString().split("== Initial")[0].count("Exchange") == 1
+    assert len(list((tmp_path / "s").glob("part-*.parquet"))) == 5
+
+
+def test_a_nan_price_is_counted_and_shows(spark, tmp_path):
+    layout = Layout.under(str(tmp_path), raw=rows.write_csv(tmp_path))
+    run_pipeline(spark, layout, order_by=rows.ORDER)
+    silver = read_layer(spark, layout.silver).withColumn("unit_price", F.lit(float("nan")).cast("float"))
+    silver = silver.withColumn("discount_pct", F.lit(0).cast("float"))
+    for mode in ("exact", "float"):
+        cube = sales_cube(with_total_amount(silver, mode))
+        assert cube.agg(F.sum("unpriceable")).first()[0] == silver.count()
+        kpi = rollups.kpi_daily(cube).first()
+        assert math.isnan(kpi.sum_of_daily_avg_order_value) and math.isnan(kpi.mean_daily_revenue)
+        assert math.isnan(rollups.kpi_states(cube).first().avg_revenue_per_state)
+
+
 def test_command_line_generate_and_pipeline(spark, tmp_path, capsys):
     raw = str(tmp_path / "raw")
     jobs.main(["generate", "--output", raw, "--rows", "2000"])

@@ -9,8 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
+from checks import star_queries
 from tallymart import clean, daily_mart, facts, read_layer, sales_cube, synth_sales
 from tallymart import with_total_amount, write_layer
+from tallymart.functions.global_windows import with_rank_desc
+from tallymart.plans.silver import layer_counts
 from tests.conftest import TESTDATA
 
 FOLDER = str(TESTDATA / "sf0.001")
@@ -30,7 +33,7 @@ def joins(spark, request):
     spark.conf.set(name, before)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - WRITES_WHEN_BUILT))
+@pytest.mark.parametrize("name", sorted(set(star_queries.registered()) - WRITES_WHEN_BUILT))
 def test_no_query_has_a_cross_join_python_or_a_whole_table_in_one_task(joins, name):
     plan = plan_of(registry.queries()[name](joins, FOLDER))
     for bad in ("Cartesian", "NestedLoop", "EvalPython", "InPandas", "MapInArrow", "RowDataSource"):
@@ -51,6 +54,26 @@ def test_whole_table_windows_deduplicate_once(spark, name):
     assert final.count("row_number(), 1, Final") == 1
 
 
+def test_layer_counts_use_hash_aggregates(spark, layers):
+    plan = plan_of(layer_counts(read_layer(spark, layers[0])))
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") >= 2
+    several = plan_of(layer_counts(read_layer(spark, layers[0]), ["order_date", "ship_date"]))
+    assert "SortAggregate" not in several
+
+
+def test_half_null_and_half_equal_values_are_ranked_without_a_hot_task(spark):
+    n = 40_000
+    value = F.when(F.col("id") % 2 == 0, F.lit(10.0))
+    df = spark.range(0, n, 1, 8).select("id", value.alias("v"))
+    ranked = with_rank_desc(df, "v", "r")
+    ranked.collect()
+    assert {tuple(r) for r in ranked.select("v", "r").distinct().collect()} == {(10.0, 1), (None, n // 2 + 1)}
+    plan = plan_of(ranked)
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert all("Window" not in line or "_value" in line or "_band" in line for line in final.splitlines())
+    assert shuffled_records(ranked) <= 2 * 8 * 4
+
+
 @pytest.fixture(scope="module")
 def layers(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("layers")

@@ -21,12 +21,27 @@ TB = 2**40
 
 def test_partition_size_grows_slower_than_the_data():
     assert partition_bytes(0) == partition_bytes(10**9) == 128 * MB
-    assert partition_bytes(1000 * TB) == 2048 * MB
+    assert partition_bytes(4000 * TB) == 8192 * MB
     size = partition_bytes(10 * TB)
-    assert 128 * MB < size < 2048 * MB
+    assert 128 * MB < size < 8192 * MB
     assert size**2 / (10 * TB) == pytest.approx(sizing.MIN_BLOCK_BYTES, rel=0.01)
 
 
+@pytest.mark.parametrize("stored, most", [(1, 12_000), (30, 64_000), (100, 116_000)])
+def test_silver_blocks_stay_worth_a_fetch(stored, most):
+    shuffled = stored * TB * sizing.SHUFFLED_PER_STORED
+    size = partition_bytes(shuffled)
+    assert shuffled / size <= most
+    assert size**2 / shuffled >= 0.99 * sizing.MIN_BLOCK_BYTES
+
+
+@pytest.mark.parametrize("stored", [1, 30, 100])
+def test_reducers_of_the_cube_do_not_grow_with_silver(spark, before, monkeypatch, stored):
+    monkeypatch.setattr(sizing, "dataset_bytes", lambda *_: stored * TB)
+    with scan_sized(spark, "any"):
+        assert spark.conf.get(SHUFFLE) == before[SHUFFLE]
+
+
 def test_splits_grow_once_there_are_many():
     assert split_bytes(0) == split_bytes(TB) == 128 * MB
     assert split_bytes(3 * TB) == 3 * TB // 10_000
