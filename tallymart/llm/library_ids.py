@@ -86,7 +86,7 @@ class LibraryIds:
         if not chunks:
             return
         text = "".join(chunks)
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
         ends = np.cumsum(self.lengths[ids])
         wanted = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
         cuts = np.searchsorted(ends, wanted) + 1
