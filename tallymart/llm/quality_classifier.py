@@ -69,11 +69,12 @@ def train(texts: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str =
             weights = model.weights().astype("<f8").tobytes()
             yield pa.RecordBatch.from_pydict({"weights": [weights], "n": [len(rows)]})
 
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
     # the chosen rows are bounded by MOST_ROWS, 16 bytes each
-    rows = texts.join(F.broadcast(chosen), texts[key] == chosen["key"])
-    order = F.xxhash64("key", text)
+    rows = rows.join(F.broadcast(chosen), "key")
+    order = F.xxhash64("key", "text")
     fitted = (
-        rows.select("key", F.col(text).alias("text"), "label", F.pmod(order, F.lit(SHARDS)).cast("int").alias("shard"), order.alias("order"))
+        rows.select("*", F.pmod(order, F.lit(SHARDS)).cast("int").alias("shard"), order.alias("order"))
         .repartitionById(SHARDS, "shard")
         .sortWithinPartitions("order", "key", "text")
         .select("text", "label")
