@@ -122,6 +122,8 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     digest = F.sha2("text", 256).alias("text_sha256")
     copies = stored(rows.join(routed, "fp", "left_semi"), "copies")
     groups = copies.groupBy("fp", "text").agg(F.max("key").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join below has plain shuffles on both sides, which adaptive execution can split
+    groups = stored(groups, "copy-groups")
     in_groups = copies.join(groups, ["fp", "text"]).select("key", "keep_id", "group_size", digest)
     single = (
         rows.select("key", "fp", digest)
