@@ -4,7 +4,9 @@ Edges are ``u, v`` with ``u > v``. Large-star links each node's larger neighbour
 the smallest node it knows of; small-star does so with the smaller ones and the
 node itself. Both keep the components; the edges end as stars around the smallest
 nodes. Minima are combined per task before they move, and edges of a node with
-many neighbours are joined to its minimum, not gathered.
+many neighbours are joined to its minimum, not gathered. The minima are written
+first: a join of two plain shuffles is one that adaptive execution can split, so
+not even the edges of one node must meet in one task.
 """
 
 from __future__ import annotations
@@ -50,11 +52,12 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")), "minima")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
+    edges = stored(edges, "edges")
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("least")), "minima")
     linked = edges.join(least, "u").where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
     return linked.unionByName(least.select("u", F.col("least").alias("v"))).distinct()
