@@ -32,7 +32,6 @@ from tallymart.llm.shared_files import Folder
 
 MANIFEST = "manifest.json"
 MANIFEST_SCHEMA = "shard int, base long, tokens long, documents long, null_keys long, kind string"
-SHARD_BYTES = 64 << 20
 
 
 def write_token_files(
@@ -49,13 +48,12 @@ def write_token_files(
     ``end_id`` follows each document. Documents are in ascending key order, null
     keys first, equal keys by text. A null text counts as empty and has the end id
     only. Repeated rows are written as often as they come; an empty table gives a
-    manifest without shards. Without ``shards``, there is one for about 64 MB of text.
+    manifest without shards. Without ``shards``, there are as many as the session has
+    shuffle partitions.
     """
     spark = df.sparkSession
     if shards is None:
-        size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-        least = spark.sparkContext.defaultParallelism * 2
-        shards = max(least, -(-size // SHARD_BYTES))
+        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     content = vocabulary(spark, path)
     Folder(folder).made()
 
