@@ -59,6 +59,8 @@ def write_warc(
     url and payload. Rows that share key and payload are records of their own, alike
     in type; a row without key refers to the group's largest key, and stands for the
     group only if no row has one. An empty table gives an empty manifest.
+    Without ``shards`` the rows are dealt over as many tasks as the session has
+    shuffle partitions.
     """
     spark = df.sparkSession
     rows = df.select(
@@ -69,8 +71,7 @@ def write_warc(
     groups = rows.where("sum is not null").groupBy("sum").agg(F.max("key").alias("first"), F.count("*").alias("n"))
     groups = stored(groups.where("n > 1").select("sum", "first"), "payloads")
     if shards is None:
-        size = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-        shards = max(spark.sparkContext.defaultParallelism * 2, -(-size // file_bytes))
+        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     Folder(folder).made()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
