@@ -7,7 +7,8 @@ alone, written between each other, or all at once by :func:`run`.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.llm.bpe import bpe_round_trip
@@ -37,16 +38,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as the mixed stream: the order of files and rows is the order of training.
 
-    Nothing is dropped. A source that holds more than its weight ends the stream.
+    Nothing is dropped. A source that holds more than its weight ends the stream. The last
+    stage reads a document's place in the stream back from the files.
     """
     return mix(docs, MIX_WEIGHTS, MIX_BLOCK, MIX_SEED)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids, and digests of ids and of the text decoded from them."""
-    coded = bpe_round_trip(docs, public_tokenizers.path(BYTE_BPE))
+    """Each document's ids, digests of ids and of the text decoded from them, and its place in the stream.
+
+    ``stream_file, stream_row`` sort the documents as the mixing wrote them: the file's name
+    and the row's number in it. Rows that do not come from files have null there.
+    """
+    place = docs.select(F.struct("doc_id", *_place(docs)).alias("at"), "text")
+    coded = bpe_round_trip(place, public_tokenizers.path(BYTE_BPE), key="at")
     return coded.select(
-        "doc_id",
+        "at.*",
         "n_tokens",
         "ids",
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -54,6 +61,16 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _place(docs: DataFrame) -> list[Column]:
+    """Where a row lies in the files that ``docs`` reads, without a shuffle or a numbering."""
+    parts = {"stream_file": ("file_name", "string"), "stream_row": ("row_index", "long")}
+    try:
+        docs.select("_metadata.row_index").schema
+    except AnalysisException:
+        return [F.lit(None).cast(kind).alias(name) for name, (_, kind) in parts.items()]
+    return [F.col(f"_metadata.{field}").cast(kind).alias(name) for name, (field, kind) in parts.items()]
+
+
 STAGES = [
     ("quality_rules", quality),
     ("exact_dedup", exact_dedup),

@@ -74,7 +74,7 @@ def schedule(spark: SparkSession, weights: Mapping[str, int]) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Number the rows of each ``s`` from 0 in the order of ``dice, key``, as ``number``.
+    """Number the rows of each ``s`` from 0 in the order of ``dice, key, tie``, as ``number``.
 
     Rows are counted by ``s`` and the first digits of the dice; sums of these counts
     say where each such bucket begins, so no task sorts a whole source. The rows
@@ -83,7 +83,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("bucket", F.substring("dice", 1, BUCKET_DIGITS))
     counts = rows.groupBy("s", "bucket").agg(F.count("*").alias("n"))
     starts = counts.select("s", "bucket", F.expr("sum(n) over (partition by s order by bucket) - n").alias("start"))
-    within = F.expr("row_number() over (partition by s, bucket order by dice, key) - 1")
+    within = F.expr("row_number() over (partition by s, bucket order by dice, key, tie) - 1")
     return (
         rows.withColumn("within", within)
         .join(starts, ["s", "bucket"])
@@ -102,7 +102,7 @@ class Mix:
 
 
 def _placed(rows: DataFrame, weights: Mapping[str, int], block: int) -> Mix:
-    """Schedule rows that have ``key, source, dice``."""
+    """Schedule rows that have ``key, source, dice, tie``; rows equal in all four are exchangeable."""
     spark = rows.sparkSession
     counted = rows.where(F.col("source").isin(list(weights))).groupBy("source").agg(F.count("*").alias("n"))
     totals = {r["source"]: r["n"] for r in counted.collect()}  # a row for each weight at most
@@ -173,7 +173,7 @@ def mixed(
     position. Rows of equal key (null: one key) are
     numbered in any order. An empty table gives no rows.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), _dice(seed, key))
+    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), _dice(seed, key), F.lit(0).alias("tie"))
     found = _placed(rows, weights, block).rows
     return found.select(
         F.col("key").alias(key), F.col("source").alias(source), "number", "block", "slot", "position", "in_mix"
@@ -194,9 +194,17 @@ def mix(
     Each partition takes an equal range of positions and is sorted. With ``whole``
     all rows stay: what a source has beyond its weight ends the stream, and rows
     without position lie behind the others in each partition. Else only the rows
-    that are ``in_mix`` stay. The columns are the input's, whatever their names.
+    that are ``in_mix`` stay. The columns are the input's, whatever their names. Rows of
+    equal key come in the order of a hash of all their columns, so a task that runs
+    again after a lost executor deals them out as it did before.
     """
-    rows = df.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), _dice(seed, key))
+    rows = df.select(
+        F.struct("*").alias("row"),
+        F.col(key).alias("key"),
+        F.col(source).alias("source"),
+        _dice(seed, key),
+        F.xxhash64(F.to_json(F.struct("*"))).alias("tie"),
+    )
     placed = _placed(rows, weights, block)
     found, size = (placed.rows, placed.size) if whole else (placed.rows.where("in_mix"), placed.in_mix)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

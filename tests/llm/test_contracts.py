@@ -7,9 +7,11 @@ import zlib
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallymart.llm import queries
+from tallymart.llm.mixing import mixed
 from tests.conftest import TESTDATA
 from tests.llm import plain
 
@@ -154,6 +156,22 @@ def test_pipeline_against_plain_stages(spark):
     assert 0 < len(found) < len(documents)
 
 
+def test_pipeline_result_carries_the_mixed_order(spark):
+    rows = corpus_pipeline.run(spark, str(FOLDER)).select("doc_id", "stream_file", "stream_row").collect()
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["stream_file"], r["stream_row"]))]
+    docs = spark.read.parquet(str(FOLDER / "documents.parquet")).where(F.col("doc_id").isin(order))
+    expected = mixed(docs, queries.MIX_WEIGHTS, queries.MIX_BLOCK, queries.MIX_SEED).where("position is not null")
+    placed = [r["doc_id"] for r in expected.orderBy("position").collect()]
+    known = set(placed)
+    assert [d for d in order if d in known] == placed and len(placed) > 100
+
+
+def test_the_last_stage_takes_rows_from_no_file(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    row = corpus_pipeline.encoding(spark, docs, str(FOLDER)).first()
+    assert (row["doc_id"], row["stream_file"], row["stream_row"]) == (1, None, None)
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(str(FOLDER / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -85,6 +85,15 @@ def test_mixing_keeps_all_rows_and_places_weighted_ones(odd):
     assert whole.columns == odd.columns and whole.exceptAll(odd).count() == odd.exceptAll(whole).count() == 0
 
 
+def test_mix_orders_rows_of_equal_key_alike_however_they_are_dealt(spark):
+    rows = [(k % 3 or None, "a", f"text {k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    order = [
+        [r.text for r in mixing.mix(df.repartition(parts, F.rand(parts)), {"a": 1}, 2, "s").collect()] for parts in (2, 7)
+    ]
+    assert order[0] == order[1] and sorted(order[0]) == sorted(t for _, _, t in rows)
+
+
 def test_mix_writes_the_stream_in_order(spark, tmp_path):
     df = spark.range(500).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source")
