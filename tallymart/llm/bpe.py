@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from tokenizers.pre_tokenizers import ByteLevel
 
-from tallymart.llm.chunks import CHUNK, Remembered
+from tallymart.llm.chunks import CHUNK, Remembered, in_parts
 
 #: Fixed value: the pattern that cuts text into pre-tokens in this family of vocabularies.
 PRE_TOKENS = (
@@ -257,7 +257,7 @@ def _coded(df: DataFrame, path: str, key: str, text: str, decoded: bool) -> Data
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE.load(content.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, texts=1)):
             packed = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             columns = [
                 batch.column(0),

@@ -7,6 +7,10 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: The characters with Unicode's White_Space property.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -17,6 +21,21 @@ CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
 GENERATION = 400_000
 LONGEST_KEPT = 64
+PART_BYTES = 1 << 21
+
+
+def in_parts(batch: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``PART_BYTES`` of the column ``texts``, one row at least.
+
+    What a task holds besides the batch then depends on neither its rows nor their mean length.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, before + PART_BYTES, "right")), first + 1)
+        yield batch.slice(first, last - first)
+        first = last
 
 
 class Remembered(dict):
