@@ -13,6 +13,7 @@ the rows in order, whatever their number. DataFrame expressions only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tallymart.llm.quality_rules import let
 
 LARGEST_PERIOD = 10_000
-BUCKET_DIGITS = 3
+LEAST_BUCKET_DIGITS = 3
 
 
 def schedule(spark: SparkSession, weights: Mapping[str, int]) -> DataFrame:
@@ -78,9 +79,12 @@ def numbered(rows: DataFrame) -> DataFrame:
 
     Rows are counted by ``s`` and the first digits of the dice; sums of these counts
     say where each such bucket begins, so no task sorts a whole source. The rows
-    move once, by bucket.
+    move once, by bucket. A source has sixteen buckets or more for each of the session's
+    shuffle partitions, so a source with a third of all rows still spreads over all tasks.
     """
-    rows = rows.withColumn("bucket", F.substring("dice", 1, BUCKET_DIGITS))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = max(LEAST_BUCKET_DIGITS, math.ceil(math.log(parts, 16)) + 1)
+    rows = rows.withColumn("bucket", F.substring("dice", 1, digits))
     counts = rows.groupBy("s", "bucket").agg(F.count("*").alias("n"))
     starts = counts.select("s", "bucket", F.expr("sum(n) over (partition by s order by bucket) - n").alias("start"))
     within = F.expr("row_number() over (partition by s, bucket order by dice, key, tie) - 1")
