@@ -94,6 +94,16 @@ def test_mix_orders_rows_of_equal_key_alike_however_they_are_dealt(spark):
     assert order[0] == order[1] and sorted(order[0]) == sorted(t for _, _, t in rows)
 
 
+def test_mixing_does_not_depend_on_the_number_of_shuffle_partitions(spark, odd):
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "8", "300"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        rows = mixing.mixed(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), {"a": 2, "b": 1}, 2, "s").collect()
+        found.append(sorted(map(tuple, rows), key=str))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and found[0]
+
+
 def test_mix_writes_the_stream_in_order(spark, tmp_path):
     df = spark.range(500).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source")
