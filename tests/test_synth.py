@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallymart import category_mart, clean, facts, roll_up, sales_cube, synth_sales
 from tallymart import RAW_SCHEMA, assert_schema, with_total_amount
 from tallymart.operators import rollups
-from tallymart.sources.synthetic import CATEGORY_PRICES, PLACES
+from tallymart.sources.synthetic import CATEGORY_PRICES, DISCOUNT, HIGH_DISCOUNT, PLACES, QUANTITY
 
 ROWS = 400_000
 TODAY = dt.date(2026, 1, 1)
@@ -111,12 +111,49 @@ def test_ranges_and_defects(raw):
     assert r.ingested == TODAY
 
 
-def test_published_totals_at_full_size(spark):
-    """Both feeds are random: totals within 3 %, a category's revenue within 5 %.
+def expected_revenue(category: str, orders: int) -> tuple[float, float]:
+    """Mean and standard error of a category's revenue over so many clean orders.
 
-    About 18,500 priced rows make up a category, whose sum has a standard
-    error of 1.1 %, so two feeds differ by 1.5 % typically.
+    An order is of the category with chance 1/5 and priced with chance 1/3; of the
+    discounts that are there (2/3), the high ones count up to 100. Quantity, price and
+    discount are uniform and independent.
     """
+
+    def moment(low: float, high: float, power: int) -> float:
+        return (high ** (power + 1) - low ** (power + 1)) / (power + 1) / (high - low)
+
+    def paid(power: int) -> float:
+        """The mean of (1 - discount) ** power, with 0 for rows without a valid discount."""
+        low, high = (tuple(x / 100 for x in span) for span in (DISCOUNT, HIGH_DISCOUNT))
+        valid = (1 - high[0]) / (high[1] - high[0])
+        return (moment(1 - low[1], 1 - low[0], power) + valid * moment(0, 1 - high[0], power)) / 3
+
+    quantities = range(QUANTITY[0], QUANTITY[1] + 1)
+    first, second = (
+        sum(q**k for q in quantities) / len(quantities) * moment(*CATEGORY_PRICES[category], k) / 3 * paid(k)
+        for k in (1, 2)
+    )
+    share = 1 / len(CATEGORY_PRICES)
+    return orders * share * first, (orders * (share * second - (share * first) ** 2)) ** 0.5
+
+
+def assert_expected(category: str, revenue: float, orders: int) -> None:
+    mean, error = expected_revenue(category, orders)
+    assert abs(revenue - mean) < 4 * error, (category, revenue, mean, error)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_revenue_of_a_category_is_as_drawn(spark, seed):
+    silver = clean(synth_sales(spark, ROWS, TODAY, seed))
+    cube = sales_cube(with_total_amount(silver)).cache()
+    orders = rollups.kpi_category_totals(cube).first().total_orders
+    assert orders == pytest.approx(ROWS / 2 * (1 - 2.718281828**-2) / 3, rel=0.015)
+    for r in category_mart(roll_up(cube, "product_category")).collect():
+        assert_expected(r.product_category, float(r.category_revenue), orders)
+
+
+def test_published_totals_at_full_size(spark):
+    """Both feeds are random: totals within 3 %, a category's revenue within 4 standard errors of its mean."""
     silver = clean(synth_sales(spark, PUBLISHED_ROWS, TODAY, partitions=16))
     cube = sales_cube(with_total_amount(silver)).cache()
     totals = rollups.kpi_category_totals(cube).first()
@@ -126,8 +163,8 @@ def test_published_totals_at_full_size(spark):
     categories = category_mart(roll_up(cube, "product_category")).collect()
     assert len(categories) == len(CATEGORY_REVENUE)
     for r in categories:
-        want = CATEGORY_REVENUE[r.product_category]
-        assert r.category_revenue == pytest.approx(want, rel=0.05)
+        assert_expected(r.product_category, float(r.category_revenue), totals.total_orders)
+        assert_expected(r.product_category, CATEGORY_REVENUE[r.product_category], ORDERS)
     ranked = rollups.category_revenue_rank(cube).orderBy("revenue_rank").collect()
     assert [r.product_category for r in ranked] == list(CATEGORY_REVENUE)
     daily = rollups.kpi_daily(cube).first()
