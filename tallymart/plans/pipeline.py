@@ -73,12 +73,11 @@ def run_bronze(
     was read.
     """
     assert_apart([input], [output])
-    with scan_sized(spark, input):
-        raw = read_raw_csv(spark, input, check_header)
-        if files is not None:
-            raw = raw.repartition(files)
-        raw, rows = _counted(raw, "bronze")
-        write_layer(raw, output)
+    raw = read_raw_csv(scan_sized(spark, input), input, check_header)
+    if files is not None:
+        raw = raw.repartition(files)
+    raw, rows = _counted(raw, "bronze")
+    write_layer(raw, output)
     return {"bronze": rows.get["rows"]}
 
 
@@ -97,12 +96,11 @@ def run_silver(
     """
     assert_apart([input], [output])
     delivered = read_layer(spark, input, RAW_SCHEMA).count()
-    with shuffle_sized(spark, input, files):
-        bronze = read_layer(spark, input, RAW_SCHEMA)
-        survivors = surviving_copies(bronze, order_by)
-        survivors, kept = _counted(survivors, "deduplicated")
-        silver, cleaned = _counted(finish(survivors), "silver")
-        write_layer(silver, output)
+    bronze = read_layer(shuffle_sized(spark, input, files), input, RAW_SCHEMA)
+    survivors = surviving_copies(bronze, order_by)
+    survivors, kept = _counted(survivors, "deduplicated")
+    silver, cleaned = _counted(finish(survivors), "silver")
+    write_layer(silver, output)
     return {
         "bronze": delivered,
         "deduplicated": kept.get["rows"],
@@ -127,38 +125,34 @@ def run_gold(
     could not be priced.
     """
     assert_apart([input], [daily_output, category_output, city_output, cube_output])
-    with scan_sized(spark, input):
-        silver = read_layer(spark, input, RAW_SCHEMA)
-        rows = marts.with_total_amount(silver, mode)
-        write_layer(marts.sales_cube(rows), cube_output)
-    with scan_sized(spark, cube_output):
-        cube = read_layer(spark, cube_output)
-        by_day = marts.roll_up(cube, "order_date")
-        write_layer(marts.daily_mart(by_day), daily_output)
-        by_category = marts.roll_up(cube, "product_category")
-        write_layer(marts.category_mart(by_category), category_output)
-        by_city = marts.roll_up(cube, "city", "state")
-        write_layer(marts.city_mart(by_city), city_output)
-        lost = marts.roll_up(cube).first()["unpriceable"]
+    silver = read_layer(scan_sized(spark, input), input, RAW_SCHEMA)
+    rows = marts.with_total_amount(silver, mode)
+    write_layer(marts.sales_cube(rows), cube_output)
+    cube = read_layer(scan_sized(spark, cube_output), cube_output)
+    by_day = marts.roll_up(cube, "order_date")
+    write_layer(marts.daily_mart(by_day), daily_output)
+    by_category = marts.roll_up(cube, "product_category")
+    write_layer(marts.category_mart(by_category), category_output)
+    by_city = marts.roll_up(cube, "city", "state")
+    write_layer(marts.city_mart(by_city), city_output)
+    lost = marts.roll_up(cube).first()["unpriceable"]
     return {"unpriceable": lost or 0}
 
 
 def run_reports(spark: SparkSession, input: str, output: str) -> list[str]:
     """The stored cube to one folder for each report query below ``output``; returns their names."""
     assert_apart([input], [output])
-    with scan_sized(spark, input):
-        cube = read_layer(spark, input)
-        for report in REPORTS:
-            write_layer(report(cube), f"{output.rstrip('/')}/{report.__name__}")
+    cube = read_layer(scan_sized(spark, input), input)
+    for report in REPORTS:
+        write_layer(report(cube), f"{output.rstrip('/')}/{report.__name__}")
     return [report.__name__ for report in REPORTS]
 
 
 def run_dq_report(spark: SparkSession, input: str, output: str) -> None:
     """Stored bronze to the data quality report."""
     assert_apart([input], [output])
-    with shuffle_sized(spark, input):
-        bronze = read_layer(spark, input, RAW_SCHEMA)
-        write_layer(dq_report(bronze, BUSINESS_KEY), output)
+    bronze = read_layer(shuffle_sized(spark, input), input, RAW_SCHEMA)
+    write_layer(dq_report(bronze, BUSINESS_KEY), output)
 
 
 def run_pipeline(

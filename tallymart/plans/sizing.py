@@ -7,8 +7,6 @@ hundreds of gigabytes at full size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from math import ceil, sqrt
 
 from pyspark.sql import SparkSession
@@ -43,13 +41,13 @@ def dataset_bytes(spark: SparkSession, path: str) -> int:
 
     However many files there are, a task per core adds up their lengths.
     """
-    with _settings(spark, {SCAN: ANY_SIZE}):
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .load(path)
-        )
-        return files.agg(F.sum("length")).first()[0] or 0
+    files = (
+        _session(spark, {SCAN: ANY_SIZE})
+        .read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(path)
+    )
+    return files.agg(F.sum("length")).first()[0] or 0
 
 
 def partition_bytes(shuffled: int) -> int:
@@ -68,37 +66,31 @@ def split_bytes(total: int) -> int:
     return min(max(total // MANY_TASKS, MIN_SPLIT_BYTES), MAX_SPLIT_BYTES)
 
 
-@contextmanager
-def scan_sized(spark: SparkSession, path: str) -> Iterator[None]:
-    """Run a job that writes ``path`` as it is read with splits of a fitting size."""
-    with _settings(spark, {SCAN: split_bytes(dataset_bytes(spark, path))}):
-        yield
+def scan_sized(spark: SparkSession, path: str) -> SparkSession:
+    """A session for a job that writes ``path`` as it is read, with splits of a fitting size."""
+    return _session(spark, {SCAN: split_bytes(dataset_bytes(spark, path))})
 
 
-@contextmanager
-def shuffle_sized(spark: SparkSession, path: str, partitions: int | None = None) -> Iterator[None]:
-    """Run a job that shuffles the Parquet rows of ``path`` with partitions of a fitting size.
+def shuffle_sized(spark: SparkSession, path: str, partitions: int | None = None) -> SparkSession:
+    """A session for a job that shuffles the Parquet rows of ``path``, with partitions of a fitting size.
 
-    Never fewer shuffle partitions than the session has; with ``partitions``, exactly so many.
+    Never fewer shuffle partitions than the caller's session has; with ``partitions``, exactly so many.
     """
     if partitions is not None:
-        with _settings(spark, {SHUFFLE: partitions, COALESCE: "false"}):
-            yield
-        return
+        return _session(spark, {SHUFFLE: partitions, COALESCE: "false"})
     shuffled = dataset_bytes(spark, path) * SHUFFLED_PER_STORED
     size = partition_bytes(shuffled)
     partitions = max(ceil(shuffled / size), int(spark.conf.get(SHUFFLE)))
-    with _settings(spark, {SCAN: size // SHUFFLED_PER_STORED, SHUFFLE: partitions}):
-        yield
-
-
-@contextmanager
-def _settings(spark: SparkSession, settings: dict[str, int | str]) -> Iterator[None]:
-    before = {name: spark.conf.get(name) for name in settings}
-    try:
-        for name, value in settings.items():
-            spark.conf.set(name, value)
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+    return _session(spark, {SCAN: size // SHUFFLED_PER_STORED, SHUFFLE: partitions})
+
+
+def _session(spark: SparkSession, settings: dict[str, int | str]) -> SparkSession:
+    """A session of the same application with the caller's settings but for these.
+
+    The caller's session is left alone, so stages that run at once do not meet.
+    """
+    own = spark.newSession()
+    for name, value in {**spark.conf.getAll, **settings}.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    return own

@@ -1,4 +1,4 @@
-"""Partition sizes follow the input and the session is left as it was."""
+"""Partition sizes follow the input and the caller's session is left as it was."""
 
 from __future__ import annotations
 
@@ -38,8 +38,7 @@ def test_silver_blocks_stay_worth_a_fetch(stored, most):
 @pytest.mark.parametrize("stored", [1, 30, 100])
 def test_reducers_of_the_cube_do_not_grow_with_silver(spark, before, monkeypatch, stored):
     monkeypatch.setattr(sizing, "dataset_bytes", lambda *_: stored * TB)
-    with scan_sized(spark, "any"):
-        assert spark.conf.get(SHUFFLE) == before[SHUFFLE]
+    assert scan_sized(spark, "any").conf.get(SHUFFLE) == before[SHUFFLE]
 
 
 def test_splits_grow_once_there_are_many():
@@ -81,24 +80,28 @@ def as_bytes(setting: str) -> int:
     return int(setting.removesuffix("b"))
 
 
-def test_a_large_input_gets_more_partitions_and_the_session_its_own_back(
+def test_a_large_input_gets_more_partitions_and_the_caller_keeps_its_settings(
     spark, before, monkeypatch
 ):
     monkeypatch.setattr(sizing, "dataset_bytes", lambda *_: 30 * TB)
-    with pytest.raises(RuntimeError), shuffle_sized(spark, "any"):
-        partitions = int(spark.conf.get(SHUFFLE))
-        scan = as_bytes(spark.conf.get(SCAN))
-        assert 50_000 < partitions < 70_000
-        assert partitions * scan == pytest.approx(30 * TB, rel=0.001)
-        raise RuntimeError
-    assert now(spark) == before
-    with scan_sized(spark, "any"):
-        assert as_bytes(spark.conf.get(SCAN)) == split_bytes(30 * TB)
-        assert spark.conf.get(SHUFFLE) == before[SHUFFLE]
+    shuffling, scanning = shuffle_sized(spark, "any"), scan_sized(spark, "any")
+    partitions, scan = int(shuffling.conf.get(SHUFFLE)), as_bytes(shuffling.conf.get(SCAN))
+    assert 50_000 < partitions < 70_000
+    assert partitions * scan == pytest.approx(30 * TB, rel=0.001)
+    assert as_bytes(scanning.conf.get(SCAN)) == split_bytes(30 * TB)
+    assert scanning.conf.get(SHUFFLE) == before[SHUFFLE]
     assert now(spark) == before
 
 
+def test_a_stage_has_the_other_settings_of_the_caller(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    own = scan_sized(spark, "/root/testdata/sf0.001/region.parquet")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    assert own.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    assert own.sparkContext is spark.sparkContext
+
+
 def test_a_small_input_keeps_the_partitions_of_the_session(spark, before, monkeypatch):
     monkeypatch.setattr(sizing, "dataset_bytes", lambda *_: 1000)
-    with shuffle_sized(spark, "any"):
-        assert spark.conf.get(SHUFFLE) == before[SHUFFLE]
+    assert shuffle_sized(spark, "any").conf.get(SHUFFLE) == before[SHUFFLE]
