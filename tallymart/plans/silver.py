@@ -54,15 +54,15 @@ def layer_counts(
 ) -> DataFrame:
     """Rows as delivered, after deduplication and after all rules.
 
-    With one ordering column, the default, only the number of copies and the fate
-    of the surviving one are kept per transaction, combined per map task before the
-    shuffle, in one pass. Several columns have no hash aggregate for their smallest
-    row; then the deduplication runs over key, fate and ordering columns, and a
-    second scan without columns counts the rows.
+    By default only the number of copies and the fate of the surviving one are kept
+    per transaction, combined per map task before the shuffle, in one pass. That takes
+    an order that is never null, as the fingerprint is. With ``order_by`` the
+    deduplication runs over key, fate and ordering columns, and a second scan without
+    columns counts the rows.
     """
     ordered, ordering = with_order(bronze, BUSINESS_KEY, order_by)
     flagged = ordered.withColumn(DROPPED, dropped_by(rules))
-    if len(ordering) == 1:
+    if not order_by:
         per_key = flagged.groupBy(BUSINESS_KEY).agg(
             F.count(F.lit(1)).alias("copies"),
             F.min_by(DROPPED, F.col(ordering[0])).alias(DROPPED),

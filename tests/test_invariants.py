@@ -17,6 +17,7 @@ from tallymart.functions.global_windows import with_rank_desc, with_total
 from tallymart.operators import rollups
 from tallymart.operators.dedup import FINGERPRINT, with_order
 from tallymart.plans.silver import layer_counts, surviving_copies
+from tallymart.schema import RAW_COLUMNS
 
 MEASURES = ["amount", "priced_orders", "orders", "units"]
 
@@ -218,3 +219,15 @@ def test_rows_to_be_dropped_still_suppress_their_copies(spark):
     plain = dedup(df, "transaction_id", narrow).where("quantity > 0")
     light = surviving_copies(df, narrow).where("not _dropped").drop("_dropped")
     assert as_set(light) == as_set(plain)
+
+
+def test_layer_counts_keep_copies_with_nothing_to_order_by(spark):
+    """Nulls in a single ordering column come first, here as in the layers."""
+    shipped = dt.date(2024, 1, 9)
+    copies = [("all", None, 1), ("all", None, 1), ("mixed", None, 0), ("mixed", shipped, 1), ("one", shipped, 1)]
+    base = synth_sales(spark, 10, dt.date(2026, 1, 1), partitions=1).limit(1).drop("transaction_id", "ship_date", "quantity")
+    own = spark.createDataFrame(copies, "transaction_id string, ship_date date, quantity int")
+    df = own.crossJoin(base).select(*RAW_COLUMNS)
+    silver = clean(df, ["ship_date"])
+    assert {r.transaction_id for r in silver.collect()} == {"all", "one"}
+    assert tuple(layer_counts(df, ["ship_date"]).first()) == (5, surviving_copies(df, ["ship_date"]).count(), 2)
