@@ -1,11 +1,10 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: its context is all turns before
-it, and only its text is trainable. Examples of one conversation share their
-prefixes, so a conversation is formatted once, in one segment for each turn, and an
-example is a span of it: it begins at 0, its loss span lies within the segment of its
-turn, and it ends with that segment. Written out, n turns would take n squared room;
-:func:`written_out` does so where it is wanted.
+it, and only its text is trainable. A conversation is formatted once, in one segment
+for each turn, and an example is a span of it: it begins at 0, its loss span lies
+within the segment of its turn, and it ends with that segment. :func:`examples` writes
+these spans out as text.
 
 A segment is ``<|im_start|>role``, a line feed, the text, ``<|im_end|>`` and a line feed. A
 backslash marks what texts and roles must not say themselves: ``\\`` becomes
@@ -22,6 +21,8 @@ from pyspark.sql import functions as F
 #: The marks around a turn.
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
+#: Code points of a conversation whose segments make one part of an example's text.
+PART = 1 << 16
 _TAIL = f"{END}\n"
 _ESCAPE = re.compile(r"\\(.)", re.DOTALL)
 
@@ -43,6 +44,14 @@ def turn_of(segment: str) -> tuple[str, str]:
     return unescaped(role), unescaped(text.removesuffix(_TAIL))
 
 
+def segments_of(text: str) -> list[str]:
+    """The segments of a text made of whole ones."""
+    found = text.split(_TAIL)
+    if found.pop():
+        raise ValueError("not a whole number of segments")
+    return [segment + _TAIL for segment in found]
+
+
 def prefix_targets(
     df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
@@ -91,20 +100,58 @@ def prefix_targets(
     )
 
 
-def written_out(segments: DataFrame) -> DataFrame:
-    """``conv_id, example, text, loss_start, loss_end``: each example with its whole input as text.
+def untrained_ends(segments: DataFrame) -> DataFrame:
+    """The segments behind the last example of each conversation, which no example holds."""
+    last = segments.where("example is not null").groupBy(F.col("conv_id").alias("c")).agg(F.max("seq").alias("last"))
+    behind = segments.join(last, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    return behind.where("last is null or seq > last").select(segments.columns)
 
-    The sum of the prefixes grows with the square of a conversation's length.
+
+def examples(segments: DataFrame) -> DataFrame:
+    """``conv_id, example, part, part_start, text, since, loss_start, loss_end``: each example's input as text, in parts.
+
+    The input of an example is the texts of its parts in order, from code point 0 to the
+    end of its turn. A part holds the segments that begin in one range of ``PART`` code
+    points, so no group grows with its conversation: parts are put together once and
+    joined to the examples that reach them, by conversation and part. What begins at
+    ``since`` is new, the context before it was there in the example before. The text
+    written grows with the square of a conversation's length, as the method does.
     """
+    part = F.floor(F.col("start") / PART)
+    spoken = F.array_sort(F.collect_list(F.struct("seq", "segment")))
+    parts = (
+        segments.select("conv_id", part.alias("part"), "seq", "segment", "start")
+        .groupBy("conv_id", "part")
+        .agg(F.min("start").alias("part_start"), F.array_join(F.transform(spoken, lambda p: p["segment"]), "").alias("whole"))
+        .withColumnsRenamed({"conv_id": "c", "part": "p"})
+    )
     targets = segments.where("example is not null").select(
-        F.col("conv_id").alias("c"), F.col("seq").alias("last"), "example", "loss_start", "loss_end"
+        "conv_id", "example", "loss_start", "loss_end", (F.col("loss_end") + len(_TAIL)).alias("end"), part.alias("last")
     )
-    parts = segments.select("conv_id", "seq", "segment").join(
-        targets, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seq") <= F.col("last"))
+    earlier = targets.select(F.col("conv_id").alias("e"), (F.col("example") + 1).alias("next"), F.col("end").alias("since"))
+    follows = F.col("conv_id").eqNullSafe(F.col("e")) & (F.col("example") == F.col("next"))
+    reached = targets.join(earlier, follows, "left").select(
+        "conv_id",
+        "example",
+        F.coalesce("since", F.lit(0).cast("long")).alias("since"),
+        "loss_start",
+        "loss_end",
+        "end",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("part"),
+    )
+    found = reached.join(parts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    text = F.substring("whole", F.lit(1), F.least(F.length("whole"), F.col("end") - F.col("part_start")).cast("int"))
+    return found.select(
+        "conv_id", "example", "part", "part_start", text.alias("text"), "since", "loss_start", "loss_end"
     )
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "segment"))), lambda p: p["segment"]), "")
+
+
+def written_out(segments: DataFrame) -> DataFrame:
+    """``conv_id, example, text, loss_start, loss_end``: each example with its whole input in one cell."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "")
     return (
-        parts.groupBy("conv_id", "example", "loss_start", "loss_end")
+        examples(segments)
+        .groupBy("conv_id", "example", "loss_start", "loss_end")
         .agg(text.alias("text"))
         .select("conv_id", "example", "text", "loss_start", "loss_end")
     )

@@ -1,4 +1,4 @@
-"""Digests of formatted conversations, read back from the segments."""
+"""Digests of formatted conversations, read back from the examples or the segments."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.llm.chat import turn_of, unescaped
+from tallymart.llm.chat import segments_of, turn_of, unescaped
 
 DIGEST_SCHEMA = (
     "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -24,15 +24,17 @@ class _Conversation:
         self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, segment: str, start: int, loss_start: int | None, loss_end: int | None) -> None:
+    def add(self, text: str, start: int, loss_start: int | None, loss_end: int | None) -> None:
+        """Take the segments of ``text``; the loss span, if any, lies in the last one."""
         if start != self.chars:
             raise ValueError("a segment is missing")
-        role, text = turn_of(segment)
-        self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        self.turns += 1
-        self.chars += len(segment)
+        for segment in segments_of(text):
+            role, said = turn_of(segment)
+            self.all.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+            self.turns += 1
+            self.chars += len(segment)
         if loss_start is not None:
-            trained = unescaped(segment[loss_start - start : loss_end - start])
+            trained = unescaped(text[loss_start - start : loss_end - start])
             self.loss.update(trained.encode("utf-8", "surrogatepass"))
             self.loss_chars += len(trained)
 
@@ -60,13 +62,29 @@ def conversation_digests(segments: DataFrame) -> DataFrame:
                 done = []
         yield _batch(done + ([now.row()] if now else []))
 
-    rows = segments.select(F.col("conv_id").cast("long"), "seq", "segment", "start", "loss_start", "loss_end")
-    return (
-        rows.repartition("conv_id")
-        .sortWithinPartitions("conv_id", "seq")
-        .drop("seq")
-        .mapInArrow(digest, DIGEST_SCHEMA)
+    rows = segments.select(
+        F.col("conv_id").cast("long"), F.col("segment").alias("text"), "start", "loss_start", "loss_end"
     )
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "start").mapInArrow(digest, DIGEST_SCHEMA)
+
+
+def digests_of_examples(written: DataFrame, ends: DataFrame) -> DataFrame:
+    """The same digests from the text of ``examples``, and the ``untrained_ends`` that no example holds.
+
+    Of each example what the one before did not hold is read, and the loss span in its last part.
+    """
+    new = F.greatest(F.col("since") - F.col("part_start"), F.lit(0))
+    begin = F.col("part_start") + new
+    end = F.col("part_start") + F.length("text")
+    trained = (F.col("loss_start") >= begin) & (F.col("loss_end") <= end)
+    fresh = written.where(end > F.col("since")).select(
+        "conv_id",
+        F.substring("text", (new + 1).cast("int"), F.length("text")).alias("segment"),
+        begin.alias("start"),
+        F.when(trained, F.col("loss_start")).alias("loss_start"),
+        F.when(trained, F.col("loss_end")).alias("loss_end"),
+    )
+    return conversation_digests(fresh.unionByName(ends.select(fresh.columns)))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

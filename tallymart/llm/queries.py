@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tallymart.llm import quality_rules
 from tallymart.llm.bpe import bpe_round_trip
-from tallymart.llm.chat import prefix_targets
-from tallymart.llm.chat_digests import conversation_digests
+from tallymart.llm.chat import examples, prefix_targets, untrained_ends
+from tallymart.llm.chat_digests import digests_of_examples
 from tallymart.llm.exact_dedup import exact_duplicates
 from tallymart.llm.mixing import mixed
 from tallymart.llm.near_dedup import near_duplicates
@@ -75,7 +75,8 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     turns = corpus(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    return conversation_digests(stored(prefix_targets(turns.unionByName(own)), "chat"))
+    segments = stored(prefix_targets(turns.unionByName(own)), "chat")
+    return digests_of_examples(stored(examples(segments), "examples"), untrained_ends(segments))
 
 
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:

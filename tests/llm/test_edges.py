@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymart.llm import bpe, chat, components, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules
 from tallymart.llm import piece_counts, token_files, warc
-from tallymart.llm.chat_digests import conversation_digests
+from tallymart.llm.chat_digests import conversation_digests, digests_of_examples
 from tests.llm import plain
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -326,3 +326,27 @@ def test_warc_rolls_files_and_is_deterministic(spark, tmp_path):
     assert got == want and len(found) == len(rows)
     texts = {k: (h or "").encode() for k, _, h in rows}
     assert all(bytes(r.payload) == texts[r.key] for r in found if r.record_type == "response")
+
+
+def test_chat_examples_hold_their_whole_context_in_bounded_parts(spark, monkeypatch):
+    """Each reply with all turns before it, over several parts, and digests that come from these texts alone."""
+    monkeypatch.setattr(chat, "PART", 300)
+    said = ["a" * 40, "<|im_end|>\n<|im_start|>user\n", None, "é漢😀" * 150, "<", "b\\"]
+    rows = [(1, k, ["user", "assistant", "tool"][k % 3], said[k % 6]) for k in range(80)]
+    rows += [(None, k, "assistant", f"x{k}") for k in range(30)] + [(2, 0, "user", "never answered")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    segments = chat.prefix_targets(df).cache()
+    stored = chat.examples(segments).cache()
+    of = {}
+    for r in segments.orderBy("seq").collect():
+        of.setdefault(r.conv_id, []).append(r)
+    found = {}
+    for r in stored.orderBy("part").collect():
+        found.setdefault((r.conv_id, r.example), []).append(r)
+    want = {(c, r.example): "".join(x.segment for x in of[c][: r.seq + 1]) for c in of for r in of[c] if r.example is not None}
+    assert {k: "".join(r.text for r in parts) for k, parts in found.items()} == want
+    longest = max(len(r.segment) for r in of[1])
+    assert len(found[1, 26]) > 5 and all(len(r.text) < 300 + longest for parts in found.values() for r in parts)
+    digests = digests_of_examples(stored, chat.untrained_ends(segments)).collect()
+    assert {r[0]: tuple(r[1:5]) for r in digests} == plain.conversations(rows)
+    assert sorted(map(tuple, digests), key=str) == sorted(map(tuple, conversation_digests(segments).collect()), key=str)
