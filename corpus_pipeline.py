@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallymart.llm.bpe import bpe_round_trip
 from tallymart.llm.exact_dedup import without_exact_duplicates
-from tallymart.llm.mixing import mix
+from tallymart.llm.mixing import mix, size_of_mix
 from tallymart.llm.near_dedup import without_near_duplicates
 from tallymart.llm.quality_rules import CORPUS, passing
 from tallymart.llm.queries import BYTE_BPE, MIX_BLOCK, MIX_SEED, MIX_WEIGHTS
@@ -48,7 +48,9 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, digests of ids and of the text decoded from them, and its place in the stream.
 
     ``stream_file, stream_row`` sort the documents as the mixing wrote them: the file's name
-    and the row's number in it. Rows that do not come from files have null there.
+    and the row's number in it. ``in_mix`` marks the beginning of the stream that holds all
+    weights; behind it lies what sources have beyond theirs, then the sources without
+    weight. Rows that do not come from files have null there.
     """
     place = docs.select(F.struct("doc_id", *_place(docs)).alias("at"), "text")
     coded = bpe_round_trip(place, public_tokenizers.path(BYTE_BPE), key="at")
@@ -67,8 +69,23 @@ def _place(docs: DataFrame) -> list[Column]:
     try:
         docs.select("_metadata.row_index").schema
     except AnalysisException:
-        return [F.lit(None).cast(kind).alias(name) for name, (_, kind) in parts.items()]
-    return [F.col(f"_metadata.{field}").cast(kind).alias(name) for name, (field, kind) in parts.items()]
+        kinds = {name: kind for name, (_, kind) in parts.items()} | {"in_mix": "boolean"}
+        return [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
+    file, row = [F.col(f"_metadata.{field}").cast(kind) for field, kind in parts.values()]
+    last, rows = _end_of_mix(docs)
+    in_mix = (file < last) | ((file == last) & (row < rows))
+    return [file.alias("stream_file"), row.alias("stream_row"), in_mix.alias("in_mix")]
+
+
+def _end_of_mix(docs: DataFrame) -> tuple[str, int]:
+    """The file in which the mix ends, and how many of its rows belong to it."""
+    left = size_of_mix(docs, MIX_WEIGHTS, MIX_BLOCK)
+    counts = docs.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
+    for file, n in sorted(map(tuple, counts.collect())):  # a row for each file
+        if left <= n:
+            return file, left
+        left -= n
+    return "", 0
 
 
 STAGES = [

@@ -98,23 +98,42 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Mix:
-    """Rows with ``source, number, block, slot, position, in_mix``; how many have a position, and are in the mix."""
+    """Rows with ``source, number, block, slot, position, in_mix``; how many have a position, are in the mix, have none."""
 
     rows: DataFrame
     size: int
     in_mix: int
+    others: int
+
+
+def _totals(rows: DataFrame, weights: Mapping[str, int]) -> tuple[dict[str, int], int]:
+    """The number of rows by ``source`` with a weight, and of those without."""
+    listed = F.when(F.col("source").isin(list(weights)), F.col("source")).alias("source")
+    counted = rows.groupBy(listed).agg(F.count("*").alias("n"))
+    totals = {r["source"]: r["n"] for r in counted.collect()}  # a row for each weight and one more at most
+    others = totals.pop(None, 0)
+    return {name: totals[name] for name in weights if name in totals}, others
+
+
+def size_of_mix(df: DataFrame, weights: Mapping[str, int], block: int, source: str = "source") -> int:
+    """How many rows of ``df`` are ``in_mix``: so many the stream begins with."""
+    totals, _ = _totals(df.select(F.col(source).alias("source")), weights)
+    weights = {name: weights[name] for name in totals}
+    if not weights:
+        return 0
+    plan = schedule(df.sparkSession, weights)
+    return _first_idle_slot(plan, [n // block for n in totals.values()], sum(weights.values())) * block
 
 
 def _placed(rows: DataFrame, weights: Mapping[str, int], block: int) -> Mix:
     """Schedule rows that have ``key, source, dice, tie``; rows equal in all four are exchangeable."""
     spark = rows.sparkSession
-    counted = rows.where(F.col("source").isin(list(weights))).groupBy("source").agg(F.count("*").alias("n"))
-    totals = {r["source"]: r["n"] for r in counted.collect()}  # a row for each weight at most
-    weights = {name: weights[name] for name in weights if name in totals}
+    totals, others = _totals(rows, weights)
+    weights = {name: weights[name] for name in totals}
     if not weights:
         nothing = {c: F.lit(None).cast("long") for c in ("number", "block", "slot", "position")}
-        return Mix(rows.withColumns(nothing | {"in_mix": F.lit(False)}), 0, 0)
-    parts, sizes = list(weights.values()), [totals[name] for name in weights]
+        return Mix(rows.withColumns(nothing | {"in_mix": F.lit(False)}), 0, 0, others)
+    parts, sizes = list(weights.values()), list(totals.values())
     period = sum(parts)
     plan = schedule(spark, weights)
     idle = _first_idle_slot(plan, [n // block for n in sizes], period)
@@ -147,6 +166,7 @@ def _placed(rows: DataFrame, weights: Mapping[str, int], block: int) -> Mix:
         ),
         sum(sizes),
         idle * block,
+        others,
     )
 
 
@@ -197,8 +217,8 @@ def mix(
 
     Each partition takes an equal range of positions and is sorted. With ``whole``
     all rows stay: what a source has beyond its weight ends the stream, and rows
-    without position lie behind the others in each partition. Else only the rows
-    that are ``in_mix`` stay. The columns are the input's, whatever their names. Rows of
+    without position lie behind it in partitions of their own, dealt by a hash of all their
+    columns. Else only the rows that are ``in_mix`` stay. The columns are the input's, whatever their names. Rows of
     equal key come in the order of a hash of all their columns, so a task that runs
     again after a lost executor deals them out as it did before.
     """
@@ -212,11 +232,14 @@ def mix(
     placed = _placed(rows, weights, block)
     found, size = (placed.rows, placed.size) if whole else (placed.rows.where("in_mix"), placed.in_mix)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.coalesce(F.floor(F.col("position") * parts / max(size, 1)), F.pmod(F.xxhash64("key"), F.lit(parts)))
+    behind = math.ceil(parts * placed.others / (placed.size + placed.others)) if whole and placed.others else 0
+    part = F.floor(F.col("position") * parts / max(size, 1))
+    if behind:
+        part = F.coalesce(part, parts + F.pmod("tie", F.lit(behind)))
     return (
-        found.select("row", "position", part.cast("int").alias("part"))
-        .repartitionById(parts, "part")
-        .sortWithinPartitions(F.col("position").asc_nulls_last())
+        found.select("row", "position", "tie", part.cast("int").alias("part"))
+        .repartitionById(parts + behind, "part")
+        .sortWithinPartitions(F.col("position").asc_nulls_last(), "tie")
         .select("row.*")
     )
 

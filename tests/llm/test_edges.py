@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from tallymart.llm import bpe, chat, components, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules
-from tallymart.llm import piece_counts, token_files, warc
+from tallymart.llm import piece_counts, queries, token_files, warc
 from tallymart.llm.chat_digests import conversation_digests, digests_of_examples
 from tests.llm import plain
 
@@ -350,3 +351,28 @@ def test_chat_examples_hold_their_whole_context_in_bounded_parts(spark, monkeypa
     digests = digests_of_examples(stored, chat.untrained_ends(segments)).collect()
     assert {r[0]: tuple(r[1:5]) for r in digests} == plain.conversations(rows)
     assert sorted(map(tuple, digests), key=str) == sorted(map(tuple, conversation_digests(segments).collect()), key=str)
+
+
+def test_rows_without_weight_lie_behind_the_whole_stream(spark, tmp_path):
+    """The stream that the pipeline publishes holds the weights first, and says where that ends."""
+    sources = [*[f"src{k}" for k in range(20)] * 2, "src0", "src0", "src0", "unlisted", None]
+    docs = spark.range(4500).select(
+        F.col("id").alias("doc_id"),
+        F.lit("a b").alias("text"),
+        F.get(F.array(*map(F.lit, sources)), (F.col("id") % len(sources)).cast("int")).alias("source"),
+    )
+    placed = mixing.mixed(docs, queries.MIX_WEIGHTS, queries.MIX_BLOCK, queries.MIX_SEED)
+    placed = {r.doc_id: r for r in placed.collect()}
+    path = str(tmp_path / "mix")
+    corpus_pipeline.mixing(spark, docs, "").write.parquet(path)
+    rows = corpus_pipeline.encoding(spark, spark.read.parquet(path), "").collect()
+    rows.sort(key=lambda r: (r.stream_file, r.stream_row))
+    weighted = sum(r.position is not None for r in placed.values())
+    assert len(rows) == 4500 and weighted == 4300
+    assert [placed[r.doc_id].position for r in rows[:weighted]] == list(range(weighted))
+    assert all(placed[r.doc_id].position is None for r in rows[weighted:])
+    assert [r.in_mix for r in rows] == [placed[r.doc_id].in_mix for r in rows] and 0 < sum(r.in_mix for r in rows) < 4300
+    behind = spark.read.parquet(path).where("source is null or source = 'unlisted'")
+    assert behind.select("_metadata.file_name").distinct().count() == 1
+    many = mixing.mix(docs.withColumn("source", F.lit(None).cast("string")), {"a": 1}, 2, "s")
+    assert many.select(F.spark_partition_id()).distinct().count() > 4
