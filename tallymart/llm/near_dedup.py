@@ -2,8 +2,9 @@
 
 1. Each text becomes its set of word shingles; of the set, a MinHash signature cut
    into bands, and an odd sketch (the parity of the shingles on each of 2,048 places).
-2. Texts with the same set are one class, told apart by nothing; its smallest key
-   stands for it from here on.
+2. Texts with the same set are one class, told apart by nothing. A number of its own
+   stands for it from here on, since one key may have several texts; a text of its
+   smallest key is the one that is looked up.
 3. Classes with an equal band share a bucket. Each is paired with the smallest of its
    bucket only. Pairs are verified by signature and sketch, then by their full sets.
 4. The links make components (large-star, small-star). A bucket whose classes are all
@@ -40,11 +41,11 @@ BLOCK = 1024
 _TEXTS_AT_ONCE = 256
 _POPULATION = np.array([bin(b).count("1") for b in range(256)], np.uint16)
 
-FEATURES = "key long, n_shingles long, set_id binary, bands array<long>, signature binary, sketch binary"
+FEATURES = "key long, print long, n_shingles long, set_id binary, bands array<long>, signature binary, sketch binary"
 
 
 def features(texts: DataFrame, width: int) -> DataFrame:
-    """``key, n_shingles, set_id, bands, signature, sketch`` of rows ``key, text``."""
+    """``key, print, n_shingles, set_id, bands, signature, sketch`` of rows ``key, text, print``."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minhash = WordHashes(), MinHash(BANDS, ROWS, SEED)
@@ -56,13 +57,14 @@ def features(texts: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array(n, pa.int64()),
                         pa.array(ids, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                         pa.array(signatures, pa.binary()),
                         pa.array(sketches, pa.binary()),
                     ],
-                    names=["key", "n_shingles", "set_id", "bands", "signature", "sketch"],
+                    names=["key", "print", "n_shingles", "set_id", "bands", "signature", "sketch"],
                 )
 
     return texts.mapInArrow(extract, FEATURES)
@@ -129,10 +131,14 @@ def _sieved(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     return sides.mapInArrow(sieve, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """The pairs ``u, v`` whose full shingle sets reach the threshold."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    needed = stored(texts.join(stored(ends, "pair-ends"), "key", "left_semi"), "pair-texts")
+def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """The pairs ``u, v`` of classes whose full shingle sets reach the threshold.
+
+    The text of a class is looked up by key and fingerprint, and taken if it has the class's set.
+    """
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    ends = stored(classes.join(ends, "class"), "pair-ends")
+    needed = stored(texts.join(ends, ["key", "print"]).select("class", "set_id", "text"), "pair-texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -142,12 +148,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -
             for at in range(batch.num_rows):
                 sets = []
                 for side in ("u", "v"):
-                    key = batch.column(side)[at].as_py()
-                    if key not in known:
+                    own = batch.column(side)[at].as_py()
+                    if own not in known:
+                        found = shingles(hashes.of(batch.column(f"text_{side}")[at].as_py()), width)
+                        if _digest(found) != batch.column(f"set_{side}")[at].as_py():
+                            break
                         if len(known) >= _TEXTS_AT_ONCE:
                             known.clear()
-                        known[key] = shingles(hashes.of(batch.column(f"text_{side}")[at].as_py()), width)
-                    sets.append(known[key])
+                        known[own] = found
+                    sets.append(known[own])
+                if len(sets) < 2:
+                    linked.append(False)
+                    continue
                 shared = len(np.intersect1d(*sets, assume_unique=True))
                 linked.append(100 * shared >= threshold * (len(sets[0]) + len(sets[1]) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(
@@ -156,8 +168,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -
 
     sides = pairs
     for side in ("u", "v"):
-        sides = sides.join(needed.select(F.col("key").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return sides.select("u", "v", "text_u", "text_v").mapInArrow(confirm, "u long, v long")
+        own = needed.select(
+            F.col("class").alias(side), F.col("set_id").alias(f"set_{side}"), F.col("text").alias(f"text_{side}")
+        )
+        sides = sides.join(own, side)
+    return sides.select("u", "v", "set_u", "set_v", "text_u", "text_v").mapInArrow(confirm, "u long, v long")
 
 
 def _across(members: DataFrame, threshold: int) -> DataFrame:
@@ -245,20 +260,25 @@ def near_duplicates(
     key reachable, and ``kept`` marks the row with that key. A text without words,
     a null text and a row without key are linked with nothing and kept; the latter
     has no component. Rows of equal key share the smallest component among them and
-    do not join the groups of their texts. An empty table gives no rows. Other columns of the input are not read.
+    do not join the groups of their texts, also where they are a group's smallest key. An empty table gives no rows. Other columns of the input are not read.
     """
-    texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    texts = df.select(
+        F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("print")
+    )
     found = stored(features(texts, width), "features")
     nodes = found.where("key is not null and n_shingles > 0")
-    classes = stored(nodes.groupBy("set_id").agg(F.min("key").alias("key")), "classes")
-    heads = stored(nodes.join(classes, ["set_id", "key"], "left_semi"), "heads")
+    classes = nodes.groupBy("set_id").agg(F.min("key").alias("key"), F.min_by("print", "key").alias("print"))
+    # written before use, so the numbers do not change when a task runs again
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    heads = stored(nodes.join(classes, ["set_id", "key", "print"]), "heads").drop("key")
+    heads = heads.withColumnRenamed("class", "key")
     sketches = heads.select("key", "n_shingles", "signature", "sketch")
     rows = heads.select(F.explode("bands").alias("bucket"), "key")
     smallest = _buckets(rows, F.min("key").alias("v"))
     pairs = rows.join(smallest, "bucket").where("key != v").select(F.col("key").alias("u"), "v").distinct()
     pairs = stored(pairs, "pairs")
     links = stored(
-        _confirmed(stored(_sieved(pairs, sketches, threshold), "sieved"), texts, width, threshold), "links"
+        _confirmed(stored(_sieved(pairs, sketches, threshold), "sieved"), classes, texts, width, threshold), "links"
     )
     joined = stored(components(links), "components")
     component = F.coalesce("component", "key").alias("component")
@@ -266,10 +286,12 @@ def near_duplicates(
     open_buckets = _buckets(grouped, F.min("component").alias("low"), F.max("component").alias("high"))
     members = stored(grouped.join(open_buckets.where("low < high").select("bucket", "size"), "bucket"), "members")
     more = stored(_across(members.join(sketches, "key"), threshold), "pairs-across")
-    more = stored(_confirmed(more, texts, width, threshold), "links-across")
+    more = stored(_confirmed(more, classes, texts, width, threshold), "links-across")
     joined = stored(components(links.unionByName(more)), "components")
-    of_set = classes.join(joined, classes["key"] == joined["node"], "left").select(
-        "set_id", F.coalesce("component", "key").alias("component")
+    placed = classes.join(joined, classes["class"] == joined["node"], "left").drop("node")
+    lowest = placed.where("component is not null").groupBy("component").agg(F.min("key").alias("low"))
+    of_set = placed.join(stored(lowest, "lowest"), "component", "left").select(
+        "set_id", F.coalesce("low", "key").alias("component")
     )
     node = nodes.select("key", "set_id").join(of_set, "set_id").groupBy("key").agg(F.min("component").alias("of_key"))
     result = found.select("key", "n_shingles").join(node, "key", "left")

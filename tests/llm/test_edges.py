@@ -376,3 +376,15 @@ def test_rows_without_weight_lie_behind_the_whole_stream(spark, tmp_path):
     assert behind.select("_metadata.file_name").distinct().count() == 1
     many = mixing.mix(docs.withColumn("source", F.lit(None).cast("string")), {"a": 1}, 2, "s")
     assert many.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_near_duplicates_of_a_key_with_two_texts(spark):
+    """Each text is linked by its own words, and two texts of one key do not join their groups."""
+    words = {name: [f"{name}{k}" for k in range(60)] for name in "abcd"}
+    near = {name: [*w[:-1], "other"] for name, w in words.items()}
+    rows = [(1, words["a"]), (1, words["b"]), (2, near["a"]), (3, near["b"]), (1, words["a"])]
+    rows += [(10, words["c"]), (10, words["d"]), (4, near["c"]), (11, near["d"]), (12, words["d"]), (13, ["lone"])]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    found = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, width=2).collect()}
+    ones = {(1, 1, True), (2, 1, False), (3, 1, False)}
+    assert found == ones | {(4, 4, True), (10, 4, False), (11, 10, False), (12, 10, False), (13, 13, True)}
