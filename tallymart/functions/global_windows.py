@@ -1,65 +1,72 @@
-"""Window results over a whole table without moving it into one task.
-
-Both functions join the table to a small summary of itself. The two sides
-share their input's last shuffle, so it is computed once; a scalar subquery
-would be planned, and under adaptive execution run, separately.
-"""
+"""Window results over a whole table without moving it into one task."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A decimal(38) has a logarithm below 88, so at most 2 * 88 * 1000 + 2 bands exist.
-BANDS_PER_E = 1000
-NULL_BAND = -(10**6)
+from tallymart.sources.scratch import written
 
+# monotonically_increasing_id holds the partition above 33 bits of row number
+_ROW_BITS = 33
 
-def _band(value: str) -> Column:
-    """Coarse band of a value: a larger value never falls into a lower band; NaN is the largest."""
-    exact = F.col(value).cast("double")
-    as_double = F.nanvl(exact, F.lit(0.0))
-    size = F.floor(F.log1p(F.abs(as_double)) * F.lit(float(BANDS_PER_E)))
-    signed = F.when(as_double < 0, -size - F.lit(1)).otherwise(size)
-    known = F.when(F.isnan(exact), F.lit(-NULL_BAND)).otherwise(signed)
-    return F.coalesce(known, F.lit(NULL_BAND)).cast("bigint")
 
+def running_total(
+    rows: DataFrame, order: Sequence[Column], value: str, name: str, partitions: int | None = None
+) -> DataFrame:
+    """Add the sum of ``value`` over all rows that come before a row in ``order``; 0 for the first.
 
-def with_rank_desc(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Add the 1-based rank of ``value``, largest first, ties sharing a rank, nulls last.
-
-    A plain ``rank().over(orderBy)`` moves the whole table into one task. Here
-    equal values, nulls among them, are counted first, which combines per task;
-    distinct values are ranked inside narrow value bands, and only the per-band
-    counts, whose number has a fixed bound, are summed up in order.
+    Spark draws range splitters from the order columns and deals the rows out by them, so
+    many close values spread over all tasks like any others. The sorted ranges are written
+    (splitters are drawn anew whenever a plan runs), summed up one by one, and only these
+    sums, one for each range, are added up in order in one task. Rows that are equal in
+    all of ``order`` share a range; count such rows first where they may be many.
+    Nulls in ``value`` count as 0; an empty table stays empty.
     """
-    distinct = df.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
-    banded = distinct.withColumn("_band", _band("_value"))
-    higher_bands = Window.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = (
-        banded.groupBy("_band")
-        .agg(F.sum("_rows").alias("_rows"))
+    if partitions is None:
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    placed = written(ranged.withColumn("_place", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("_band", F.shiftright("_place", _ROW_BITS))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    lower = (
+        placed.groupBy("_band")
+        .agg(F.sum(value).alias("_sum"))
         .select(
             F.col("_band").alias("_band_ahead"),
-            F.coalesce(F.sum("_rows").over(higher_bands), F.lit(0)).alias("_ahead"),
+            F.coalesce(F.sum("_sum").over(before.orderBy("_band")), F.lit(0)).alias("_ahead"),
         )
     )
-    larger = (
-        Window.partitionBy("_band")
-        .orderBy(F.desc_nulls_last("_value"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranks = (
-        banded.withColumn("_within", F.coalesce(F.sum("_rows").over(larger), F.lit(0)) + F.lit(1))
-        .join(ahead, F.col("_band") == F.col("_band_ahead"))
-        .select("_value", (F.col("_ahead") + F.col("_within")).cast("bigint").alias(name))
+    within = F.sum(value).over(before.partitionBy("_band").orderBy("_place"))
+    return (
+        placed.withColumn("_within", F.coalesce(within, F.lit(0)))
+        .join(lower, F.col("_band") == F.col("_band_ahead"))
+        .select(*rows.columns, (F.col("_ahead") + F.col("_within")).cast("bigint").alias(name))
     )
+
+
+def with_rank_desc(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Add the 1-based rank of ``value``, largest first, ties sharing a rank, nulls last.
+
+    A plain ``rank().over(orderBy)`` moves the whole table into one task. Here equal
+    values, nulls among them, are counted first, which combines per task, and a value's
+    rank is the running total of these counts. The table is written first, since it is
+    read twice.
+    """
+    df = written(df, "ranked")
+    distinct = df.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    ahead = running_total(distinct, [F.desc_nulls_last("_value")], "_rows", "_larger")
+    ranks = ahead.select("_value", (F.col("_larger") + F.lit(1)).alias(name))
     return df.join(ranks, F.col(value).eqNullSafe(F.col("_value"))).select(*df.columns, name)
 
 
 def with_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Add the sum of ``value`` over all rows; ``key`` is any column that varies.
 
+    The two sides of the join share their input's last shuffle, so it is computed once; a
+    scalar subquery would be planned, and under adaptive execution run, separately.
     Sums go through slices, more than the session has shuffle partitions and at
     most twice as many, and only those are added up in one task.
     """

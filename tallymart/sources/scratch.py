@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINTS = "spark.checkpoint.dir"
 _OWNED: set[str] = set()
@@ -37,6 +37,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a fresh intermediate table and read from there, which ends their lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     """Delete a folder through its own file system, if the session still runs."""
     context = spark.sparkContext

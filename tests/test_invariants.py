@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallymart import clean, dedup, duplicate_keys, facts, roll_up, sales_cube
 from tallymart import synth_sales, with_total_amount
 from tallymart.functions.money import rounded_average
-from tallymart.functions.global_windows import with_rank_desc, with_total
+from tallymart.functions.global_windows import running_total, with_rank_desc, with_total
 from tallymart.operators import rollups
 from tallymart.operators.dedup import FINGERPRINT, with_order
 from tallymart.plans.silver import layer_counts, surviving_copies
@@ -173,6 +173,20 @@ def test_rank_and_total_against_brute_force(spark, values):
     assert {r.total for r in totals} == {sum(known) if known else None}
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 50])
+def test_running_total_against_brute_force(spark, partitions):
+    rows = [(k * 7919 % 200 - 100 or None, chr(97 + k % 5), None if k % 11 == 0 else k) for k in range(200)]
+    df = spark.createDataFrame(rows, "a long, b string, n long").repartition(7)
+    found = running_total(df, [F.asc_nulls_first("a"), F.asc("b")], "n", "ahead", partitions).collect()
+    total = 0
+    want = []
+    for a, b, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        want.append((a, b, n, total))
+        total += n or 0
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+    assert running_total(df.limit(0), [F.asc("a")], "n", "ahead", partitions).collect() == []
+
+
 @settings(
     max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )

@@ -12,8 +12,10 @@ import __spark_entry__ as registry
 from checks import star_queries
 from tallymart import clean, daily_mart, facts, read_layer, sales_cube, synth_sales
 from tallymart import with_total_amount, write_layer
+from tallymart.functions import global_windows
 from tallymart.functions.global_windows import with_rank_desc
 from tallymart.plans.silver import layer_counts
+from tallymart.sources.scratch import written
 from tests.conftest import TESTDATA
 
 FOLDER = str(TESTDATA / "sf0.001")
@@ -45,15 +47,50 @@ def test_no_query_has_a_cross_join_python_or_a_whole_table_in_one_task(joins, na
             assert re.search(r"partial_|HashAggregate\(keys=\[_(band|slice)", lines[i + 1])
 
 
-@pytest.mark.parametrize("name", ["category_order_share", "category_revenue_rank"])
-def test_whole_table_windows_deduplicate_once(spark, name):
-    df = registry.queries()[name](spark, str(TESTDATA / "sf0.01"))
+def test_order_share_deduplicates_once(spark):
+    df = registry.queries()["category_order_share"](spark, str(TESTDATA / "sf0.01"))
     df.collect()
     plan = plan_of(df)
     final = plan[: plan.index("== Initial Plan ==")]
     assert final.count("row_number(), 1, Final") == 1
 
 
+def test_rank_deduplicates_once(spark, monkeypatch):
+    """The ranked table is written once; what follows reads it."""
+    plans = []
+
+    def seen(df, name):
+        plans.append(plan_of(df))
+        return written(df, name)
+
+    monkeypatch.setattr(global_windows, "written", seen)
+    df = registry.queries()["category_revenue_rank"](spark, str(TESTDATA / "sf0.01"))
+    assert df.count() > 0
+    assert [p.count("row_number(), 1, Final") for p in [*plans, plan_of(df)]] == [1, 0, 0]
+
+
+def test_close_values_are_ranked_in_all_tasks(spark, monkeypatch):
+    """100,000 distinct values within 0.1 %, a third of them in one, nulls and equal ones beside them."""
+    n, tables = 100_000, {}
+
+    def seen(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(global_windows, "written", seen)
+    own = F.lit(1000.0) + F.col("id") / n
+    value = F.when(F.col("id") % 10 == 9, F.lit(None)).when(F.col("id") % 3 == 0, F.lit(1000.5)).otherwise(own)
+    df = spark.range(0, n, 1, 8).select("id", value.alias("v"))
+    values = [r.v for r in df.collect()]
+    known = sorted((v for v in values if v is not None), reverse=True)
+    first = {v: at for at, v in reversed(list(enumerate(known, 1)))} | {None: len(known) + 1}
+    found = with_rank_desc(df, "v", "r").select("id", "r").collect()
+    assert len(found) == n and all(first[values[r.id]] == r.r for r in found)
+    bands = F.shiftright("_place", 33)
+    sizes = [r["count"] for r in tables["ranges"].groupBy(bands).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * sum(sizes) / 8
+
+
 def test_layer_counts_use_hash_aggregates(spark, layers):
     plan = plan_of(layer_counts(read_layer(spark, layers[0])))
     assert "SortAggregate" not in plan and plan.count("HashAggregate") >= 2
