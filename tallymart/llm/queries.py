@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import quality_rules
+from tallymart.llm import merkle_manifest, quality_rules
 from tallymart.llm.bpe import bpe_round_trip
 from tallymart.llm.chat import examples, prefix_targets, untrained_ends
 from tallymart.llm.chat_digests import digests_of_examples
@@ -98,6 +98,25 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    documents = corpus(spark, folder)
+    rest = [F.col(c) for c in ("source", "lang", "n_chars")]
+    flat = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    own, changed = (merkle_manifest.leaf(F.col("doc_id"), *rest, text) for text in (F.col("text"), flat))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, changed).otherwise(own)
+    rows = merkle_manifest.manifest(documents, own, tampered=tampered)
+    rows = rows.withColumn("folded_root", merkle_manifest.folded(F.col("tampered"), F.col("sides")))
+    return rows.select(
+        F.col("key").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle_manifest.proof(F.col("sides")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def registered() -> dict[str, Query]:
     own = [
         op1_pfair_mix,
@@ -110,5 +129,6 @@ def registered() -> dict[str, Query]:
         op8_quality_classifier,
         op9_token_counts,
         op10_warc,
+        op12_merkle_manifest,
     ]
     return {query.__name__: query for query in own}

@@ -171,3 +171,50 @@ def earliest_deadline_first(weights: dict[str, int], rows: dict[str, int], block
             done[s] += 1
         slot += 1
     return out
+
+
+def h(*parts: str) -> str:
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle_leaf(values: tuple) -> str:
+    return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+
+def merkle(rows: list[tuple]) -> Counter:
+    """The rows of op12 of rows ``doc_id, source, lang, n_chars, text``; equal doc_ids lie by leaf."""
+    by = defaultdict(list)
+    for row in rows:
+        broken = (*row[:4], row[4] and row[4].replace("\n", ""))
+        odd = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0
+        by[row[1]].append((row[0], merkle_leaf(row), merkle_leaf(broken if odd else row)))
+
+    def levels(nodes: list[str]) -> list[list[str]]:
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([h(*out[-1][i : i + 3]) for i in range(0, len(out[-1]), 3)])
+        return out
+
+    def path(found: list[list[str]], at: int) -> list[tuple[str, str]]:
+        sides = []
+        for nodes in found[:-1]:
+            first = at - at % 3
+            sides.append(("".join(nodes[first:at]), "".join(nodes[at + 1 : first + 3])))
+            at //= 3
+        return sides
+
+    groups = sorted(by, key=lambda g: (g is not None, (g or "").encode()))
+    for g in groups:
+        by[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    trees = [levels([r[1] for r in by[g]]) for g in groups]
+    top = levels([t[-1][0] for t in trees])
+    out = Counter()
+    for k, g in enumerate(groups):
+        for at, (doc_id, leaf, found) in enumerate(by[g]):
+            sides = path(trees[k], at) + path(top, k)
+            for left, right in sides:
+                found = h(left, found, right)
+            proof = h(*[left + right for left, right in sides])
+            root = top[-1][0]
+            out[doc_id, leaf, trees[k][-1][0], root, proof, found, found == root] += 1
+    return out
