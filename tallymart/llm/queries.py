@@ -13,6 +13,7 @@ from tallymart.llm.bpe import bpe_round_trip
 from tallymart.llm.chat import examples, prefix_targets, untrained_ends
 from tallymart.llm.chat_digests import digests_of_examples
 from tallymart.llm.exact_dedup import exact_duplicates
+from tallymart.llm.line_dedup import without_common_lines
 from tallymart.llm.mixing import mixed
 from tallymart.llm.near_dedup import near_duplicates
 from tallymart.llm.piece_counts import token_counts
@@ -32,6 +33,8 @@ TOKEN_LIMIT = 4096
 MIX_WEIGHTS = {"src0": 145} | {f"src{k}": 45 for k in range(1, 20)}
 MIX_BLOCK = 4
 MIX_SEED = "mix-1"
+#: Lines of at least so many code points in at least so many documents go.
+LINE_DOCUMENTS, LINE_CHARS = 10, 1
 WARC_DATE = "2024-01-01T00:00:00Z"
 
 
@@ -98,6 +101,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = without_common_lines(corpus(spark, folder), LINE_DOCUMENTS, LINE_CHARS)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     documents = corpus(spark, folder)
     rest = [F.col(c) for c in ("source", "lang", "n_chars")]
@@ -129,6 +137,7 @@ def registered() -> dict[str, Query]:
         op8_quality_classifier,
         op9_token_counts,
         op10_warc,
+        op11_line_dedup,
         op12_merkle_manifest,
     ]
     return {query.__name__: query for query in own}

@@ -218,3 +218,16 @@ def merkle(rows: list[tuple]) -> Counter:
             root = top[-1][0]
             out[doc_id, leaf, trees[k][-1][0], root, proof, found, found == root] += 1
     return out
+
+
+def line_dedup(rows: list[tuple[int, str | None]], least: int, chars: int) -> Counter:
+    def key(line: str) -> str:
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+
+    documents = Counter(k for _, t in rows for k in {key(line) for line in (t or "").split("\n")})
+    out = Counter()
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if documents[key(x)] < least or len(key(x)) < chars]
+        out[doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
+    return out
