@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import merkle_manifest, quality_rules
+from tallymart.llm import conversation_repair, merkle_manifest, quality_rules
 from tallymart.llm.bpe import bpe_round_trip
 from tallymart.llm.chat import examples, prefix_targets, untrained_ends
 from tallymart.llm.chat_digests import digests_of_examples
@@ -125,6 +125,36 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with a fault planted in a quarter of their rows; nulls become one space first."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    fault = F.crc32(F.concat(parts[0], F.lit(":"), parts[1])) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(parts[3], ".!?", "")).otherwise(parts[3])
+    rows = turns.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(parts[2]).alias("role"),
+        text.alias("text"),
+        fault.alias("fault"),
+    )
+    copies = F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.where("fault != 0").withColumn("copy", F.explode(copies)).drop("fault", "copy")
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = corpus(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.audits(damaged(turns)).withColumnRenamed("conv_id", "found_id")
+    every = turns.select(F.col("conv_id").cast("long")).distinct()
+    rows = every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select(
+        "conv_id",
+        *numbers,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def registered() -> dict[str, Query]:
     own = [
         op1_pfair_mix,
@@ -139,5 +169,6 @@ def registered() -> dict[str, Query]:
         op10_warc,
         op11_line_dedup,
         op12_merkle_manifest,
+        op13_conversation_repair,
     ]
     return {query.__name__: query for query in own}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from array import array
@@ -231,3 +232,65 @@ def line_dedup(rows: list[tuple[int, str | None]], least: int, chars: int) -> Co
         kept = [x for x in lines if documents[key(x)] < least or len(key(x)) < chars]
         out[doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
     return out
+
+
+def damaged(rows: list[tuple]) -> dict:
+    """Each conversation's rows ``turn, role, text`` after the planted faults; rows are ``conv, turn, role, text``."""
+    found = {}
+    for conv, turn, role, text in rows:
+        mine = found.setdefault(conv, [])
+        named = [" " if v is None else v for v in (conv, turn, role, text)]
+        fault, (role, text) = zlib.crc32(f"{named[0]}:{named[1]}".encode()) % 20, named[2:]
+        if fault == 1:
+            text = ""
+        elif fault == 2:
+            text = re.sub("[.!?]", "", text)
+        elif fault == 4:
+            role = "user"
+        mine += [(turn, role, text)] * {0: 0, 3: 2}.get(fault, 1)
+    return found
+
+
+def cheapest_repair(rows: list[tuple]) -> tuple:
+    """``cost, audit, rows`` of rows ``role, text, fault``, the cheapest prefix going on first."""
+    heap, done = [(0, "", 0, "", ())], set()
+    while True:
+        cost, audit, at, roles, kept = heapq.heappop(heap)
+        if (at, roles[-1:]) in done:
+            continue
+        done.add((at, roles[-1:]))
+        if at == len(rows) and re.fullmatch("(s?(ua)+)?", roles):
+            return cost, audit, [f"{r}:{t}" for r, t in kept]
+        ways = [(2, "I", r, "", 0) for r in ("user", "assistant")]
+        if at < len(rows):
+            role, text, fault = rows[at]
+            ways.append((3, "D", None, "", 1))
+            if fault not in ("blank", "duplicate"):
+                ways += [(2 + (fault is not None), "R", r, text, 1) for r in ("user", "assistant")]
+                ways.append((int(fault is not None), "K", role, text, 1))
+        for more, letter, role, text, step in ways:
+            after = roles if role is None else roles + (role[:1] or "?")
+            if role is None or re.fullmatch("s|s?(ua)*u?", after):
+                line = () if role is None else ((role, text),)
+                heapq.heappush(heap, (cost + more, audit + letter, at + step, after, kept + line))
+
+
+def conversation_audit(rows: list[tuple]) -> tuple:
+    """What the query says of a conversation's rows ``turn, role, text``."""
+    tie = lambda r: hashlib.md5(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest()
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie(r)))
+    turns = {r[0] for r in rows} - {None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    faulty, seen = [], set()
+    for _, role, text in rows:
+        words = "".join(WORD.findall(text))
+        fault = "blank" if not words else "duplicate" if (role, text) in seen else None
+        if not fault and words[-1] not in ".!?":
+            fault = "truncated"
+        faulty.append((role, text, fault))
+        seen.add((role, text))
+    counts = Counter(f for *_, f in faulty)
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    cost, audit, kept = cheapest_repair(faulty)
+    digest = hashlib.sha256("\n".join(kept).encode()).hexdigest()
+    return gaps, counts["blank"], counts["duplicate"], counts["truncated"], illegal, cost, audit, digest
