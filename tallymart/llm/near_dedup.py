@@ -3,10 +3,12 @@
 1. Each text becomes its set of word shingles; of the set, a MinHash signature cut
    into bands, and an odd sketch (the parity of the shingles on each of 2,048 places).
 2. Texts with the same set are one class, told apart by nothing. A number of its own
-   stands for it from here on, since one key may have several texts; a text of its
-   smallest key is the one that is looked up.
-3. Classes with an equal band share a bucket. Each is paired with the smallest of its
-   bucket only. Pairs are verified by signature and sketch, then by their full sets.
+   stands for it from here on, since one key may have several texts; one row of its
+   smallest key stands for the class, however often that row is repeated.
+3. Classes with an equal band share a bucket; rows of buckets with more than one class
+   are stored once. Each class is paired with the smallest of its bucket only. Pairs are
+   verified by signature and sketch, then by their full sets, of texts that a Bloom
+   filter of bounded size lets through to the join.
 4. The links make components (large-star, small-star). A bucket whose classes are all
    in one component needs nothing more, and these are the large ones.
 5. In the other buckets every two classes of different components are compared, by
@@ -30,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymart.llm import bloom
 from tallymart.llm.components import components
 from tallymart.llm.minhash_signatures import MinHash
 from tallymart.llm.tables import stored
 from tallymart.llm.words import WordHashes, shingles
+from tallymart.sources.scratch import scratch_path
 
 BANDS, ROWS, SEED = 44, 5, 20_240_131
 SKETCH_BITS = 2048
@@ -138,7 +142,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: in
     """
     ends = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
     ends = stored(classes.join(ends, "class"), "pair-ends")
-    needed = stored(texts.join(ends, ["key", "print"]).select("class", "set_id", "text"), "pair-texts")
+    place, folder = F.xxhash64("key", "print"), scratch_path(texts.sparkSession, "pair-filter")
+    bits = bloom.written(ends.select(place.alias("hash")), folder)
+    likely = texts.where(bloom.may_hold(place, folder, bits))
+    needed = likely.join(ends, ["key", "print"]).select("class", "set_id", "text").distinct()
+    needed = stored(needed, "pair-texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -265,24 +273,26 @@ def near_duplicates(
     texts = df.select(
         F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("print")
     )
-    found = stored(features(texts, width), "features")
+    found = stored(features(texts, width).withColumn("row", F.monotonically_increasing_id()), "features")
     nodes = found.where("key is not null and n_shingles > 0")
-    classes = nodes.groupBy("set_id").agg(F.min("key").alias("key"), F.min_by("print", "key").alias("print"))
+    head = F.min(F.struct("key", "print", "row")).alias("head")
     # written before use, so the numbers do not change when a task runs again
+    classes = nodes.groupBy("set_id").agg(head).select("set_id", "head.*")
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    heads = stored(nodes.join(classes, ["set_id", "key", "print"]), "heads").drop("key")
-    heads = heads.withColumnRenamed("class", "key")
+    heads = nodes.drop("key").join(classes.select("row", F.col("class").alias("key")), "row")
+    heads = stored(heads.select("key", "n_shingles", "bands", "signature", "sketch"), "heads")
     sketches = heads.select("key", "n_shingles", "signature", "sketch")
     rows = heads.select(F.explode("bands").alias("bucket"), "key")
-    smallest = _buckets(rows, F.min("key").alias("v"))
-    pairs = rows.join(smallest, "bucket").where("key != v").select(F.col("key").alias("u"), "v").distinct()
+    shared = stored(rows.join(_buckets(rows, F.min("key").alias("v")), "bucket").select("bucket", "key", "v"), "shared")
+    pairs = shared.where("key != v").select(F.col("key").alias("u"), "v").distinct()
     pairs = stored(pairs, "pairs")
     links = stored(
         _confirmed(stored(_sieved(pairs, sketches, threshold), "sieved"), classes, texts, width, threshold), "links"
     )
     joined = stored(components(links), "components")
     component = F.coalesce("component", "key").alias("component")
-    grouped = rows.join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", component)
+    grouped = shared.join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", component)
+    grouped = stored(grouped, "grouped")
     open_buckets = _buckets(grouped, F.min("component").alias("low"), F.max("component").alias("high"))
     members = stored(grouped.join(open_buckets.where("low < high").select("bucket", "size"), "bucket"), "members")
     more = stored(_across(members.join(sketches, "key"), threshold), "pairs-across")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tallymart.llm import bpe, chat, components, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules
+from tallymart.llm import bloom, bpe, chat, components, exact_dedup, mixing, near_dedup
+from tallymart.llm import quality_classifier, quality_rules
 from tallymart.llm import piece_counts, queries, token_files, warc
 from tallymart.llm.chat_digests import conversation_digests, digests_of_examples
+from tallymart.sources.scratch import scratch_path
 from tests.llm import plain
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -388,3 +391,27 @@ def test_near_duplicates_of_a_key_with_two_texts(spark):
     found = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, width=2).collect()}
     ones = {(1, 1, True), (2, 1, False), (3, 1, False)}
     assert found == ones | {(4, 4, True), (10, 4, False), (11, 10, False), (12, 10, False), (13, 13, True)}
+
+
+def test_near_duplicates_of_a_row_repeated_a_thousand_times(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(words[:-2] + ["other", "end"]), "quite different words here"]
+    rows = [(k, t) for k, t in enumerate(texts)] * 1000
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in found.collect()) == {
+        (0, 0, True): 1000,
+        (1, 0, False): 1000,
+        (2, 2, True): 1000,
+    }
+
+
+def test_the_filter_holds_back_nothing_that_is_in_it(spark):
+    small = 1 << 12
+    hashes = spark.range(30_000).select(F.xxhash64("id").alias("hash"), "id")
+    folder = scratch_path(spark, "filter")
+    bits = bloom.written(hashes.where("id % 3 = 0").repartition(4), folder, small)
+    passed = {r.id for r in hashes.where(bloom.may_hold(F.col("hash"), folder, bits, small)).collect()}
+    assert passed >= set(range(0, 30_000, 3)) and len(passed) < 11_000
+    empty = scratch_path(spark, "filter")
+    bits = bloom.written(hashes.where("id < 0"), empty)
+    assert not hashes.where(bloom.may_hold(F.col("hash"), empty, bits)).count()
