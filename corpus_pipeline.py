@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.llm.bpe import bpe_round_trip
@@ -47,13 +47,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, digests of ids and of the text decoded from them, and its place in the stream.
 
-    ``position`` counts the stream's documents from 0. ``stream_file, stream_row`` sort them
-    likewise: the file's name without what differs from run to run, and the row's number in
-    it. ``in_mix`` marks the beginning of the stream that holds all weights; behind it lies
-    what sources have beyond theirs, then the sources without weight. Rows that do not come
-    from files have null there. Null texts are encoded as empty ones; no rows give none.
+    ``stream_file, stream_row`` sort the documents as the mixing wrote them: the file's name
+    without its run's random part, and the row's number in it. ``in_mix`` marks the beginning of the stream that holds all
+    weights; behind it lies what sources have beyond theirs, then the sources without
+    weight. Rows that do not come from files have null there.
     """
-    place = _placed(docs).select(F.struct("doc_id", "position", "stream_file", "stream_row", "in_mix").alias("at"), "text")
+    place = docs.select(F.struct("doc_id", *_place(docs)).alias("at"), "text")
     coded = bpe_round_trip(place, public_tokenizers.path(BYTE_BPE), key="at")
     return coded.select(
         "at.*",
@@ -66,35 +65,31 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: What a writer puts into file names to tell its runs apart.
 _RUN = "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
-#: The table of files, about 100 bytes each, is sent to every task up to so many.
-_FILES_SENT = 500_000
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` with the row's place in the files that ``docs`` reads, without moving a text."""
-    kinds = {"position": "long", "stream_file": "string", "stream_row": "long", "in_mix": "boolean"}
+def _place(docs: DataFrame) -> list[Column]:
+    """Where a row lies in the files that ``docs`` reads, without a shuffle or a numbering."""
+    parts = {"stream_file": ("file_name", "string"), "stream_row": ("row_index", "long")}
     try:
         docs.select("_metadata.row_index").schema
     except AnalysisException:
-        return docs.select("doc_id", "text", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()])
-    file = F.col("_metadata.file_name").alias("file")
-    counts = docs.groupBy(file).agg(F.count("*").alias("n")).collect()  # a row for each file
-    bases, base = [], 0
-    for name, n in sorted(map(tuple, counts)):
-        bases.append((name, base))
-        base += n
-    starts = docs.sparkSession.createDataFrame(bases, "file string, base long")
-    rows = docs.select("doc_id", "text", file, F.col("_metadata.row_index").cast("long").alias("stream_row"))
-    rows = rows.join(F.broadcast(starts) if len(bases) <= _FILES_SENT else starts, "file")
-    rows = rows.withColumn("position", F.col("base") + F.col("stream_row"))
-    return rows.select(
-        "doc_id",
-        "text",
-        "position",
-        F.regexp_replace("file", _RUN, "").alias("stream_file"),
-        "stream_row",
-        (F.col("position") < size_of_mix(docs, MIX_WEIGHTS, MIX_BLOCK)).alias("in_mix"),
-    )
+        kinds = {name: kind for name, (_, kind) in parts.items()} | {"in_mix": "boolean"}
+        return [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
+    file, row = [F.col(f"_metadata.{field}").cast(kind) for field, kind in parts.values()]
+    last, rows = _end_of_mix(docs)
+    in_mix = (file < last) | ((file == last) & (row < rows))
+    return [F.regexp_replace(file, _RUN, "").alias("stream_file"), row.alias("stream_row"), in_mix.alias("in_mix")]
+
+
+def _end_of_mix(docs: DataFrame) -> tuple[str, int]:
+    """The file in which the mix ends, and how many of its rows belong to it."""
+    left = size_of_mix(docs, MIX_WEIGHTS, MIX_BLOCK)
+    counts = docs.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
+    for file, n in sorted(map(tuple, counts.collect())):  # a row for each file
+        if left <= n:
+            return file, left
+        left -= n
+    return "", 0
 
 
 STAGES = [
