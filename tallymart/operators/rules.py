@@ -111,47 +111,39 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule] = SALES_RULES) -> DataFrame
 def dq_report(df: DataFrame, key: str, rules: Sequence[Rule] = SALES_RULES) -> DataFrame:
     """Per rule: rows checked, rows violating it, rows with no value to check.
 
-    The value rules share one scan and one partial aggregate. The duplicate
-    check reads only the key column and counts each key before it is shuffled.
+    All counts come from one aggregate by key, in one pass over ``df``: the copies of a
+    key and what its rows violate are added up per map task, then per key, then over all
+    keys. A key or null that holds most rows sends one row for each task.
     """
 
-    def line(name, column, action, checked, violating, nulls):
+    def line(name, column, action, violating, nulls):
         return F.struct(
             F.lit(name).alias("rule"),
             F.lit(column).alias("column_name"),
             F.lit(action).alias("action"),
-            checked.cast("bigint").alias("rows_checked"),
-            violating.cast("bigint").alias("rows_violating"),
-            nulls.cast("bigint").alias("rows_null"),
+            total("_copies").alias("rows_checked"),
+            violating.alias("rows_violating"),
+            nulls.alias("rows_null"),
         )
 
-    counts = df.agg(
-        F.array(
-            *[
-                line(
-                    r.name,
-                    r.column,
-                    r.action,
-                    F.count(F.lit(1)),
-                    F.count_if(r.violated()),
-                    F.count_if(F.col(r.column).isNull()),
-                )
-                for r in rules
-            ]
-        ).alias("lines")
-    )
-    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
-    no_key = F.when(F.col(key).isNull(), F.col("copies")).otherwise(0)
-    duplicates = per_key.agg(
-        F.array(
-            line(
-                "duplicate_key",
-                key,
-                DROP_ROW,
-                F.coalesce(F.sum("copies"), F.lit(0)),
-                F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)),
-                F.coalesce(F.sum(no_key), F.lit(0)),
-            )
-        ).alias("lines")
-    )
-    return duplicates.unionByName(counts).select(F.inline("lines"))
+    def total(column):
+        return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
+
+    counts = [F.count(F.lit(1)).alias("_copies")]
+    lines = [
+        line(
+            "duplicate_key",
+            key,
+            DROP_ROW,
+            total(F.col("_copies") - 1),
+            total(F.when(F.col(key).isNull(), F.col("_copies"))),
+        )
+    ]
+    for at, r in enumerate(rules):
+        counts += [
+            F.count_if(r.violated()).alias(f"_violating_{at}"),
+            F.count_if(F.col(r.column).isNull()).alias(f"_nulls_{at}"),
+        ]
+        lines.append(line(r.name, r.column, r.action, total(f"_violating_{at}"), total(f"_nulls_{at}")))
+    per_key = df.groupBy(key).agg(*counts)
+    return per_key.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
