@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymart.functions.order_codes import order_code
 from tallymart.operators.dedup import dedup, with_order
 from tallymart.operators.rules import (
     DROP_ROW,
@@ -52,26 +53,24 @@ def layer_counts(
     order_by: Sequence[str] | None = None,
     rules: Sequence[Rule] = SALES_RULES,
 ) -> DataFrame:
-    """Rows as delivered, after deduplication and after all rules.
+    """Rows as delivered, after deduplication and after all rules, in one pass.
 
-    By default only the number of copies and the fate of the surviving one are kept
-    per transaction, combined per map task before the shuffle, in one pass. That takes
-    an order that is never null, as the fingerprint is. With ``order_by`` the
-    deduplication runs over key, fate and ordering columns, and a second scan without
-    columns counts the rows.
+    Per transaction only the number of copies and the fate of the surviving one are kept,
+    combined per map task before the shuffle. Where the ordering columns fit one number
+    (the default's fingerprint, or see ``order_code``) this hashes; any other order sorts
+    key and ordering columns in the task and behind the shuffle.
     """
     ordered, ordering = with_order(bronze, BUSINESS_KEY, order_by)
     flagged = ordered.withColumn(DROPPED, dropped_by(rules))
-    if not order_by:
-        per_key = flagged.groupBy(BUSINESS_KEY).agg(
-            F.count(F.lit(1)).alias("copies"),
-            F.min_by(DROPPED, F.col(ordering[0])).alias(DROPPED),
-        )
+    # the code is never null: min_by would skip copies that have a null there
+    code = order_code(flagged, ordering) if order_by else F.col(ordering[0])
+    if code is None:
+        first = F.min(F.struct(*ordering, DROPPED)).getField(DROPPED)
     else:
-        narrow = flagged.select(*dict.fromkeys([BUSINESS_KEY, *ordering, DROPPED]))
-        survivors = dedup(narrow, BUSINESS_KEY, ordering).select(F.lit(0).alias("copies"), DROPPED)
-        total = bronze.agg(F.count(F.lit(1)).alias("copies"))
-        per_key = survivors.unionByName(total.withColumn(DROPPED, F.lit(None).cast("boolean")))
+        first = F.min_by(DROPPED, code)
+    per_key = flagged.groupBy(BUSINESS_KEY).agg(
+        F.count(F.lit(1)).alias("copies"), first.alias(DROPPED)
+    )
     return per_key.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("bronze_rows"),
         F.count(DROPPED).alias("deduplicated_rows"),
