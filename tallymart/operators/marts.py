@@ -8,12 +8,15 @@ straight from the rows or from one stored cube.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions import money
 from tallymart.schema import BUSINESS_KEY
 
+MEASURES = ("amount", "priced_orders", "unpriceable", "orders", "units")
 CUBE_KEYS = ("order_date", "product_category", "city", "state")
 
 
@@ -49,17 +52,38 @@ def facts(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _added_up() -> list[Column]:
+    return [F.sum(measure).alias(measure) for measure in MEASURES]
+
+
 def roll_up(finer: DataFrame, *keys: str) -> DataFrame:
     """Facts at a coarser grain from finer facts."""
-    return finer.groupBy(*keys).agg(
-        F.sum("amount").alias("amount"),
-        F.sum("priced_orders").alias("priced_orders"),
-        F.sum("unpriceable").alias("unpriceable"),
-        F.sum("orders").alias("orders"),
-        F.sum("units").alias("units"),
+    return finer.groupBy(*keys).agg(*_added_up())
+
+
+def roll_ups(finer: DataFrame, grains: Sequence[Sequence[str]]) -> DataFrame:
+    """Facts at several coarser grains in one pass over the finer ones.
+
+    A row for each group of each grain, with the number of its grain in ``grain``; keys
+    that the grain does not have are null. :func:`at_grain` takes one out. A grain without
+    keys has no row if there are no facts.
+    """
+    keys = list(dict.fromkeys(key for grain in grains for key in grain))
+    # grouping_id() has a bit for each key, the first key's highest, set where the grain lacks it
+    ids = [sum((key not in grain) << at for at, key in enumerate(reversed(keys))) for grain in grains]
+    number = F.create_map(*[F.lit(v) for pair in zip(ids, range(len(grains))) for v in pair])
+    return (
+        finer.groupingSets([list(grain) for grain in grains], *keys)
+        .agg(*_added_up(), F.grouping_id().cast("int").alias("grain"))
+        .withColumn("grain", number[F.col("grain")])
     )
 
 
+def at_grain(several: DataFrame, grains: Sequence[Sequence[str]], number: int) -> DataFrame:
+    """The facts of one grain of ``roll_ups``, as ``roll_up`` gives them."""
+    return several.where(F.col("grain") == number).select(*grains[number], *MEASURES)
+
+
 def revenue(amount: str = "amount") -> Column:
     """The published revenue of a row of facts."""
     return money.published(F.col(amount), F.col("unpriceable"))

@@ -10,12 +10,15 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallymart import clean, dedup, duplicate_keys, facts, roll_up, sales_cube
+from tallymart import clean, dedup, dq_report, duplicate_keys, facts, roll_up, sales_cube
 from tallymart import synth_sales, with_total_amount
 from tallymart.functions.money import rounded_average
 from tallymart.functions.global_windows import running_total, with_rank_desc, with_total
 from tallymart.operators import rollups
 from tallymart.operators.dedup import FINGERPRINT, with_order
+from tallymart.operators.marts import at_grain, roll_ups
+from tallymart.operators.rules import SALES_RULES
+from tallymart.plans.pipeline import MART_GRAINS
 from tallymart.plans.silver import layer_counts, surviving_copies
 from tallymart.schema import RAW_COLUMNS
 
@@ -245,3 +248,42 @@ def test_layer_counts_keep_copies_with_nothing_to_order_by(spark):
     silver = clean(df, ["ship_date"])
     assert {r.transaction_id for r in silver.collect()} == {"all", "one"}
     assert tuple(layer_counts(df, ["ship_date"]).first()) == (5, surviving_copies(df, ["ship_date"]).count(), 2)
+
+
+@pytest.mark.parametrize(
+    "order_by",
+    [["order_date", "ship_date"], ["quantity", "city", "discount_pct", *RAW_COLUMNS], ["ship_date", "quantity", "order_date"]],
+)
+def test_layer_counts_under_any_order_equal_the_layers(bronze, order_by):
+    """Orders that fit one number and orders that do not; the last of them leaves no ties."""
+    whole = [*order_by, *RAW_COLUMNS]
+    for columns in (order_by, whole):
+        survivors = surviving_copies(bronze, columns)
+        got = tuple(layer_counts(bronze, columns).first())
+        assert got[:2] == (bronze.count(), survivors.count())
+    assert got[2] == survivors.where("not _dropped").count()
+
+
+@pytest.mark.parametrize("rows_kept", [0, 1, None])
+def test_several_grains_at_once_equal_each_alone(rows, rows_kept):
+    """Keys that are null in the data stay apart from keys that a grain lacks."""
+    holes = rows.withColumn("city", F.when(F.col("quantity") > 1, F.col("city")))
+    cube = sales_cube(holes if rows_kept is None else holes.limit(rows_kept))
+    several = roll_ups(cube, MART_GRAINS)
+    for at, grain in enumerate(MART_GRAINS):
+        alone = roll_up(cube, *grain)
+        if not grain:
+            alone = alone.where("orders IS NOT NULL")
+        assert as_set(at_grain(several, MART_GRAINS, at)) == as_set(alone)
+
+
+def test_dq_report_against_a_plain_count(bronze):
+    """Every count of the report from collected rows, and zeros for an empty table."""
+    found = {r.rule: tuple(r)[3:] for r in dq_report(bronze, "transaction_id").collect()}
+    n = bronze.count()
+    for r in SALES_RULES:
+        marked = bronze.select(r.violated().alias("v"), F.col(r.column).isNull().alias("n")).collect()
+        assert found[r.name] == (n, sum(m.v for m in marked), sum(m.n for m in marked))
+    keys = [r[0] for r in bronze.select("transaction_id").collect()]
+    assert found["duplicate_key"] == (n, n - len(set(keys)), keys.count(None))
+    assert {tuple(r)[3:] for r in dq_report(bronze.limit(0), "transaction_id").collect()} == {(0, 0, 0)}

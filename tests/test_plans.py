@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from checks import star_queries
-from tallymart import clean, daily_mart, facts, read_layer, sales_cube, synth_sales
+from tallymart import clean, daily_mart, dq_report, facts, read_layer, sales_cube, synth_sales
 from tallymart import with_total_amount, write_layer
 from tallymart.functions import global_windows
 from tallymart.functions.global_windows import with_rank_desc
+from tallymart.operators.marts import roll_ups
+from tallymart.plans.pipeline import MART_GRAINS
 from tallymart.plans.silver import layer_counts
 from tallymart.sources.scratch import written
 from tests.conftest import TESTDATA
@@ -98,6 +100,35 @@ def test_layer_counts_use_hash_aggregates(spark, layers):
     assert "SortAggregate" not in several
 
 
+@pytest.mark.parametrize("order_by", [None, ["order_date", "ship_date"], ["order_date", "city", "unit_price"]])
+def test_layer_counts_are_one_scan_without_windows(spark, layers, order_by):
+    plan = plan_of(layer_counts(read_layer(spark, layers[0]), order_by))
+    assert plan.count("FileScan") == 1 and "Window" not in plan
+    # partial before the one shuffle of rows, then the sums of all tasks
+    assert plan.count("Exchange") == 2 and "partial_" in plan[plan.index("Exchange hashpartitioning") :]
+
+
+def test_dq_report_is_one_scan_with_a_partial_aggregate(spark, layers):
+    plan = plan_of(dq_report(read_layer(spark, layers[0]), "transaction_id"))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 2 and "SortAggregate" not in plan
+    assert "partial_count" in plan[plan.index("Exchange hashpartitioning") :]
+
+
+def test_dq_report_computes_a_derived_input_once(spark):
+    """The feed is joins; each table is read once for all of the report."""
+    df = registry.queries()["dq_report"](spark, FOLDER)
+    scans = re.findall(r"FileScan parquet .*?/(\w+)\.parquet", plan_of(df))
+    once = re.findall(r"FileScan parquet .*?/(\w+)\.parquet", plan_of(star_queries._bronze(spark, FOLDER)))
+    assert scans and sorted(scans) == sorted(once)
+
+
+def test_all_marts_are_one_scan_of_the_cube(spark, layers, tmp_path):
+    write_layer(sales_cube(with_total_amount(read_layer(spark, layers[1]))), str(tmp_path / "cube"))
+    plan = plan_of(roll_ups(read_layer(spark, str(tmp_path / "cube")), MART_GRAINS))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    assert "partial_sum" in plan[plan.index("Exchange") :]
+
+
 def test_half_null_and_half_equal_values_are_ranked_without_a_hot_task(spark):
     n = 40_000
     value = F.when(F.col("id") % 2 == 0, F.lit(10.0))
