@@ -108,42 +108,51 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule] = SALES_RULES) -> DataFrame
     return df.withColumns(cleaned) if cleaned else df
 
 
+_RULES_A_MASK = 31
+
+
+def _findings(rules: Sequence[Rule]) -> Column:
+    """Two bits for each rule in order: whether the row violates it, and has no value for it."""
+    bits = F.lit(0).cast("bigint")
+    for at, r in enumerate(rules):
+        bits += r.violated().cast("bigint") * (1 << 2 * at)
+        bits += F.col(r.column).isNull().cast("bigint") * (2 << 2 * at)
+    return bits
+
+
 def dq_report(df: DataFrame, key: str, rules: Sequence[Rule] = SALES_RULES) -> DataFrame:
     """Per rule: rows checked, rows violating it, rows with no value to check.
 
-    All counts come from one aggregate by key, in one pass over ``df``: the copies of a
-    key and what its rows violate are added up per map task, then per key, then over all
-    keys. A key or null that holds most rows sends one row for each task.
+    One pass over ``df``: rows are counted by key, and by what all rules find in them, in
+    one aggregate with one counter that combines per map task before the shuffle. A key
+    or null that holds most rows sends one row for each task; the findings are few.
     """
+    parts = [rules[at : at + _RULES_A_MASK] for at in range(0, len(rules), _RULES_A_MASK)]
+    masks = [f"_findings_{at}" for at in range(len(parts))]
+    found = df.select(key, *[_findings(part).alias(mask) for mask, part in zip(masks, parts)])
+    counted = found.groupingSets([[key], masks], key, *masks).agg(
+        F.count(F.lit(1)).alias("_rows"), F.grouping(key).alias("_by_findings")
+    )
+
+    by_key = F.col("_by_findings") == 0
+
+    def rows(condition, number=F.col("_rows")):
+        return F.coalesce(F.sum(F.when(condition, number)), F.lit(0)).cast("bigint")
 
     def line(name, column, action, violating, nulls):
         return F.struct(
             F.lit(name).alias("rule"),
             F.lit(column).alias("column_name"),
             F.lit(action).alias("action"),
-            total("_copies").alias("rows_checked"),
+            rows(by_key).alias("rows_checked"),
             violating.alias("rows_violating"),
             nulls.alias("rows_null"),
         )
 
-    def total(column):
-        return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
-
-    counts = [F.count(F.lit(1)).alias("_copies")]
-    lines = [
-        line(
-            "duplicate_key",
-            key,
-            DROP_ROW,
-            total(F.col("_copies") - 1),
-            total(F.when(F.col(key).isNull(), F.col("_copies"))),
-        )
-    ]
-    for at, r in enumerate(rules):
-        counts += [
-            F.count_if(r.violated()).alias(f"_violating_{at}"),
-            F.count_if(F.col(r.column).isNull()).alias(f"_nulls_{at}"),
-        ]
-        lines.append(line(r.name, r.column, r.action, total(f"_violating_{at}"), total(f"_nulls_{at}")))
-    per_key = df.groupBy(key).agg(*counts)
-    return per_key.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
+    more, no_key = rows(by_key, F.col("_rows") - 1), rows(by_key & F.col(key).isNull())
+    lines = [line("duplicate_key", key, DROP_ROW, more, no_key)]
+    for mask, part in zip(masks, parts):
+        for at, r in enumerate(part):
+            bit = [~by_key & (F.col(mask).bitwiseAND(b << 2 * at) != 0) for b in (1, 2)]
+            lines.append(line(r.name, r.column, r.action, rows(bit[0]), rows(bit[1])))
+    return counted.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
