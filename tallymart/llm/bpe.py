@@ -37,6 +37,8 @@ _PLACE_BITS = 32
 _PLACE = (1 << _PLACE_BITS) - 1
 _NONE = 1 << 62
 _LARGEST_VOCABULARY = 64_000_000
+#: Two generations of each are kept. A forgotten word is merged again; a forgotten chunk is only cut again.
+WORDS_KEPT, CHUNKS_KEPT = 200_000, 50_000
 _LOADED: dict[bytes, ByteBPE] = {}
 
 
@@ -83,8 +85,8 @@ class ByteBPE:
         )
         self._pre_tokens = regex.compile(PRE_TOKENS)
         self._library_cut = ByteLevel(add_prefix_space=False, use_regex=True)
-        self._words = Remembered(self._word)
-        self._chunks = Remembered(self._chunk)
+        self._words = Remembered(self._word, WORDS_KEPT)
+        self._chunks = Remembered(self._chunk, CHUNKS_KEPT)
 
     @staticmethod
     def load(content: bytes) -> ByteBPE:

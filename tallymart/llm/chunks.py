@@ -39,16 +39,17 @@ def in_parts(batch: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
 
 
 class Remembered(dict):
-    """Results by piece, in two generations of at most ``GENERATION`` pieces.
+    """Results by piece, in two generations of at most ``generation`` pieces.
 
     A full young generation becomes the old one; what is found there moves up
     again. Pieces that are forgotten, and long ones, which are never kept, only
     cost time.
     """
 
-    def __init__(self, compute: Callable | None = None):
+    def __init__(self, compute: Callable | None = None, generation: int = GENERATION):
         super().__init__()
         self.compute = compute
+        self.generation = generation
         self.old: dict = {}
 
     def __missing__(self, piece: str):
@@ -61,7 +62,7 @@ class Remembered(dict):
         return value
 
     def turn(self) -> None:
-        if len(self) >= GENERATION:
+        if len(self) >= self.generation:
             self.old = dict(self)
             self.clear()
 

@@ -9,6 +9,7 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tallymart.llm import bloom, bpe, chat, components, exact_dedup, mixing, near_dedup
 from tallymart.llm import quality_classifier, quality_rules
@@ -415,3 +416,14 @@ def test_the_filter_holds_back_nothing_that_is_in_it(spark):
     empty = scratch_path(spark, "filter")
     bits = bloom.written(hashes.where("id < 0"), empty)
     assert not hashes.where(bloom.may_hold(F.col("hash"), empty, bits)).count()
+
+
+def test_bpe_remembers_a_bounded_number_of_chunks_and_words(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 300, raising=False)
+    monkeypatch.setattr(bpe, "CHUNKS_KEPT", 100, raising=False)
+    content = open(BPE, "rb").read()
+    own, library = bpe.ByteBPE(content), Tokenizer.from_str(content.decode())
+    text = " ".join(f"w{k % 911}x, y{k % 13}" for k in range(5_000))
+    assert list(bpe._unpacked(own.encode(text))) == library.encode(text, add_special_tokens=False).ids
+    assert len(own._words) + len(own._words.old) <= 600
+    assert len(own._chunks) + len(own._chunks.old) <= 200
