@@ -17,7 +17,7 @@ from tallymart.operators import marts
 from tallymart.operators.rollups import REPORTS
 from tallymart.operators.rules import dq_report
 from tallymart.plans.silver import finish, surviving_copies
-from tallymart.plans.sizing import scan_sized, shuffle_sized
+from tallymart.plans.sizing import into_files, scan_sized, shuffle_sized
 from tallymart.schema import BUSINESS_KEY, RAW_SCHEMA
 from tallymart.sources.csv_feed import read_raw_csv
 from tallymart.sources.layers import assert_apart, read_layer, write_layer
@@ -74,12 +74,13 @@ def run_bronze(
     """Raw CSV to typed Parquet, all rows kept. Returns the row count.
 
     Without ``files`` there is no shuffle: every CSV split is written where it
-    was read.
+    was read. With ``files`` splits are put together, and shuffled only if they are fewer
+    or the cluster has more cores than files.
     """
     assert_apart([input], [output])
-    raw = read_raw_csv(scan_sized(spark, input), input, check_header)
+    raw = read_raw_csv(scan_sized(spark, input, files), input, check_header)
     if files is not None:
-        raw = raw.repartition(files)
+        raw = into_files(raw, files)
     raw, rows = _counted(raw, "bronze")
     write_layer(raw, output)
     return {"bronze": rows.get["rows"]}
@@ -94,8 +95,8 @@ def run_silver(
 ) -> dict[str, int]:
     """Bronze to cleaned Parquet in one job with one shuffle. Returns row counts.
 
-    With ``files`` that shuffle has as many partitions, each written as one file. The
-    bronze count is a scan without columns: counting on the way to the shuffle would
+    With ``files`` that shuffle has a multiple of partitions that fit in memory; each file is
+    written from several, one after the other. The bronze count is a scan without columns: counting on the way to the shuffle would
     count the rows of a repeated task twice.
     """
     assert_apart([input], [output])
@@ -104,6 +105,8 @@ def run_silver(
     survivors = surviving_copies(bronze, order_by)
     survivors, kept = _counted(survivors, "deduplicated")
     silver, cleaned = _counted(finish(survivors), "silver")
+    if files is not None:
+        silver = silver.coalesce(files)
     write_layer(silver, output)
     return {
         "bronze": delivered,

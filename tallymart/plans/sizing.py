@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from math import ceil, sqrt
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MB = 2**20
@@ -33,6 +33,9 @@ MIN_SPLIT_BYTES = 128 * MB
 MAX_SPLIT_BYTES = 512 * MB
 MANY_TASKS = 10_000
 
+#: So many for each file asked for, so that files come out even.
+SPLITS_A_FILE = 4
+
 ANY_SIZE = 2**60
 
 
@@ -66,22 +69,35 @@ def split_bytes(total: int) -> int:
     return min(max(total // MANY_TASKS, MIN_SPLIT_BYTES), MAX_SPLIT_BYTES)
 
 
-def scan_sized(spark: SparkSession, path: str) -> SparkSession:
-    """A session for a job that writes ``path`` as it is read, with splits of a fitting size."""
-    return _session(spark, {SCAN: split_bytes(dataset_bytes(spark, path))})
+def scan_sized(spark: SparkSession, path: str, files: int | None = None) -> SparkSession:
+    """A session for a job that writes ``path`` as it is read, with splits of a fitting size; for ``files``, several each."""
+    total = dataset_bytes(spark, path)
+    size = split_bytes(total)
+    if files is not None:
+        size = min(size, max(total // (SPLITS_A_FILE * files), MB))
+    return _session(spark, {SCAN: size})
+
+
+def into_files(df: DataFrame, files: int) -> DataFrame:
+    """The rows in ``files`` partitions; without a shuffle if there are as many already and the cores all get one."""
+    if files >= df.sparkSession.sparkContext.defaultParallelism and df.rdd.getNumPartitions() >= files:
+        return df.coalesce(files)
+    return df.repartition(files)
 
 
-def shuffle_sized(spark: SparkSession, path: str, partitions: int | None = None) -> SparkSession:
+def shuffle_sized(spark: SparkSession, path: str, files: int | None = None) -> SparkSession:
     """A session for a job that shuffles the Parquet rows of ``path``, with partitions of a fitting size.
 
-    Never fewer shuffle partitions than the caller's session has; with ``partitions``, exactly so many.
+    Never fewer shuffle partitions than the caller's session has; with ``files``, a multiple of
+    them that adaptive execution leaves alone, so that each file can take as many partitions.
     """
-    if partitions is not None:
-        return _session(spark, {SHUFFLE: partitions, COALESCE: "false"})
     shuffled = dataset_bytes(spark, path) * SHUFFLED_PER_STORED
     size = partition_bytes(shuffled)
+    scan = {SCAN: size // SHUFFLED_PER_STORED}
+    if files is not None:
+        return _session(spark, scan | {SHUFFLE: files * max(ceil(shuffled / size / files), 1), COALESCE: "false"})
     partitions = max(ceil(shuffled / size), int(spark.conf.get(SHUFFLE)))
-    return _session(spark, {SCAN: size // SHUFFLED_PER_STORED, SHUFFLE: partitions})
+    return _session(spark, scan | {SHUFFLE: partitions})
 
 
 def _session(spark: SparkSession, settings: dict[str, int | str]) -> SparkSession:

@@ -28,8 +28,9 @@ from tallymart import (
     write_layer,
 )
 from tallymart.operators import rollups
-from tallymart.plans import pipeline
+from tallymart.plans import pipeline, sizing
 from tallymart.schema import CATEGORY_SCHEMA, CITY_SCHEMA, DAILY_SCHEMA, RAW_SCHEMA
+from tallymart.sources import csv_feed
 from tests import rows
 
 
@@ -198,3 +199,34 @@ def test_command_line_generate_and_pipeline(spark, tmp_path, capsys):
     counts = json.loads(capsys.readouterr().out.splitlines()[-1])
     assert counts["bronze"] == 2000
     assert 0 < counts["silver"] < counts["deduplicated"] < 2000
+
+
+def test_files_come_from_splits_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """As many splits as files: bronze moves no row, in files that hold all rows; raw text is compressed."""
+    written = []
+    monkeypatch.setattr(csv_feed, "ROWS_A_FILE", 500, raising=False)
+    monkeypatch.setattr(pipeline, "write_layer", lambda df, path: (written.append(df), write_layer(df, path)))
+    raw, bronze = str(tmp_path / "raw"), str(tmp_path / "b")
+    sales = synth_sales(spark, 20_000, dt.date(2026, 1, 1), partitions=4)
+    csv_feed.write_raw_csv(sales, raw)
+    assert len(list((tmp_path / "raw").glob("*.csv.gz"))) == 40
+    monkeypatch.setattr(sizing, "MB", 1)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert pipeline.run_bronze(spark, raw, bronze, files=10) == {"bronze": 20_000}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert "Exchange" not in written[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(list((tmp_path / "b").glob("part-*.parquet"))) == 10
+    assert sorted(map(str, read_layer(spark, bronze).collect())) == sorted(map(str, sales.collect()))
+
+
+def test_silver_files_take_several_partitions_each(spark, tmp_path, monkeypatch):
+    bronze = str(tmp_path / "b")
+    write_layer(synth_sales(spark, 20_000, dt.date(2026, 1, 1), partitions=4), bronze)
+    expected = sorted(map(str, clean(read_layer(spark, bronze)).collect()))
+    monkeypatch.setattr(sizing, "partition_bytes", lambda shuffled: max(shuffled // 12, 1))
+    assert int(sizing.shuffle_sized(spark, bronze, 5).conf.get(sizing.SHUFFLE)) == 15
+    run_silver(spark, bronze, str(tmp_path / "s"), files=5)
+    assert len(list((tmp_path / "s").glob("part-*.parquet"))) == 5
+    assert sorted(map(str, read_layer(spark, str(tmp_path / "s")).collect())) == expected
