@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,33 @@ class Remembered(dict):
             self.old = dict(self)
             self.clear()
 
+    def joined(
+        self, documents: Iterable[list[str]], compute: Callable[[list[str]], Iterable[bytes]]
+    ) -> Iterator[bytes]:
+        """For each document the results of its pieces, one behind the other.
+
+        Pieces are numbered first, so what is remembered is looked up once for each
+        different piece; ``compute`` is asked once, for all that are new.
+        """
+        numbers = defaultdict(count().__next__)
+        numbered = [list(map(numbers.__getitem__, pieces)) for pieces in documents]
+        pieces = list(numbers)
+        found = list(map(self.get, pieces))
+        lacking = [at for at, value in enumerate(found) if value is None]
+        new = []
+        for at in lacking:
+            found[at] = self.old.get(pieces[at])
+            if found[at] is None:
+                new.append(at)
+        for at, value in zip(new, compute([pieces[at] for at in new])):
+            found[at] = value
+        for at in lacking:
+            if len(pieces[at]) <= LONGEST_KEPT:
+                self.turn()
+                self[pieces[at]] = found[at]
+        for places in numbered:
+            yield b"".join(map(found.__getitem__, places))
+
     @contextmanager
     def filled(self, documents: list[list[str]], compute: Callable[[list[str]], Iterable]) -> Iterator[None]:
         """For the time of the block, every piece of the documents has its result here."""

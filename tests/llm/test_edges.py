@@ -427,3 +427,29 @@ def test_bpe_remembers_a_bounded_number_of_chunks_and_words(monkeypatch):
     assert list(bpe._unpacked(own.encode(text))) == library.encode(text, add_special_tokens=False).ids
     assert len(own._words) + len(own._words.old) <= 600
     assert len(own._chunks) + len(own._chunks.old) <= 200
+
+
+def test_bpe_merges_new_short_words_side_by_side(monkeypatch):
+    rng, content = random.Random(23), open(BPE, "rb").read()
+    own, library, one_by_one = bpe.ByteBPE(content), Tokenizer.from_str(content.decode()), []
+    merge = own.merge
+    monkeypatch.setattr(own, "merge", lambda symbols: one_by_one.append(len(symbols)) or merge(symbols))
+    words = ["".join(rng.choices("aeinrst", k=k % 80 + 1)) + rng.choice(["", ".", "é", "'s", "漢", "<|endoftext|>"]) for k in range(4_000)]
+    texts = [" ".join(words[at : at + 50]) for at in range(0, len(words), 50)] + ["", " ", "a" * 61, "a" * 62, "a" * 63]
+    packed = list(own.encode_all(texts))
+    for text, ids, found in zip(texts, packed, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids == plain.packed(found.ids)
+    assert list(own.decode_all(packed)) == texts
+    assert one_by_one and min(one_by_one) > 62
+    assert own.decode(plain.packed([own.id_of_byte[65], 4_000_000_000, own.id_of_byte[66]])) == "AB"
+
+
+def test_bpe_cuts_stable_text_as_the_pattern_does():
+    import regex
+
+    rng, stable = random.Random(29), [chr(c) for c in range(0x250)]
+    common = [" ", " ", "\n", "\x1c", "\x85", "\xa0", "'", "'s", "'ll", "'re", "a", "é", "7", "²", "!", "_"]
+    cut, whole = bpe.stable_pre_tokens(), regex.compile(bpe.PRE_TOKENS)
+    for _ in range(3_000):
+        text = "".join(rng.choices(common, k=rng.randrange(20)) + rng.choices(stable, k=rng.randrange(5)) + rng.choices(common, k=4))
+        assert cut.findall(text) == whole.findall(text)
