@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from tokenizers.pre_tokenizers import ByteLevel
 
-from tallymart.llm.chunks import CHUNK, Remembered, in_parts
+from tallymart.llm.chunks import CHUNK, Numbered, Remembered, in_parts, taken
 
 #: Fixed value: the pattern that cuts text into pre-tokens in this family of vocabularies.
 PRE_TOKENS = (
@@ -102,7 +102,7 @@ class ByteBPE:
         )
         self._stable_pre_tokens = stable_pre_tokens()
         self._library_cut = ByteLevel(add_prefix_space=False, use_regex=True)
-        self._words = Remembered(generation=WORDS_KEPT)
+        self._words = Numbered("<u4", WORDS_KEPT)
         self._chunks = Remembered(self._chunk, CHUNKS_KEPT)
         self._byte_ids = np.array(self.id_of_byte, np.int64)
         self._merged_ids = np.array(self.merged, np.int64)
@@ -129,7 +129,7 @@ class ByteBPE:
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text; the texts' new pre-tokens are merged together."""
-        return self._words.joined(map(self._cut, texts), self._merged)
+        return (ids.tobytes() for ids in self._words.ids_of(map(self.cut, texts), self._merged))
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; bytes that are not UTF-8 become U+FFFD, unknown ids nothing."""
@@ -138,17 +138,15 @@ class ByteBPE:
     def decode_all(self, packed: list[bytes]) -> Iterator[str]:
         """The text of each of some packed ids."""
         ids = np.minimum(np.frombuffer(b"".join(packed), "<u4"), self._beyond)
-        lengths = self._lengths[ids]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        places = np.arange(ends[-1]) + np.repeat(self._starts[ids] - ends[:-1], lengths)
-        raw = self._bytes[places].tobytes()
-        documents = np.cumsum([len(p) // 4 for p in packed])
+        found, ends = taken(self._bytes, self._starts[ids], self._lengths[ids])
+        raw = found.tobytes()
+        documents = np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)
         first = 0
         for last in ends[documents].tolist():
             yield raw[first:last].decode("utf-8", "replace")
             first = last
 
-    def _cut(self, text: str) -> list[str]:
+    def cut(self, text: str) -> list[str]:
         """The pre-tokens of a text; special tokens are pre-tokens of their own."""
         parts = self._specials.split(text) if self._specials else [text]
         if len(parts) == 1:
@@ -171,8 +169,8 @@ class ByteBPE:
             return self._stable_pre_tokens.findall(chunk)
         return [chunk[a:b] for _, (a, b) in self._library_cut.pre_tokenize_str(chunk)]
 
-    def _merged(self, words: list[str]) -> list[bytes]:
-        """The packed ids of new pre-tokens: short ones on trees side by side, others one by one."""
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new pre-tokens and how many each has: short ones on trees side by side, others one by one."""
         raw = [word.encode("utf-8") for word in words]
         out: list[bytes] = [b""] * len(words)
         by_depth: dict[int, list[int]] = {}
@@ -188,7 +186,7 @@ class ByteBPE:
                 part = places[first : first + _TREES]
                 for at, ids in zip(part, self._merge_together([raw[at] for at in part], depth)):
                     out[at] = ids
-        return out
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
     def _pair(self, left, right):
         return left * (self._beyond + 1) + right

@@ -6,7 +6,7 @@ import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -67,33 +67,6 @@ class Remembered(dict):
             self.old = dict(self)
             self.clear()
 
-    def joined(
-        self, documents: Iterable[list[str]], compute: Callable[[list[str]], Iterable[bytes]]
-    ) -> Iterator[bytes]:
-        """For each document the results of its pieces, one behind the other.
-
-        Pieces are numbered first, so what is remembered is looked up once for each
-        different piece; ``compute`` is asked once, for all that are new.
-        """
-        numbers = defaultdict(count().__next__)
-        numbered = [list(map(numbers.__getitem__, pieces)) for pieces in documents]
-        pieces = list(numbers)
-        found = list(map(self.get, pieces))
-        lacking = [at for at, value in enumerate(found) if value is None]
-        new = []
-        for at in lacking:
-            found[at] = self.old.get(pieces[at])
-            if found[at] is None:
-                new.append(at)
-        for at, value in zip(new, compute([pieces[at] for at in new])):
-            found[at] = value
-        for at in lacking:
-            if len(pieces[at]) <= LONGEST_KEPT:
-                self.turn()
-                self[pieces[at]] = found[at]
-        for places in numbered:
-            yield b"".join(map(found.__getitem__, places))
-
     @contextmanager
     def filled(self, documents: list[list[str]], compute: Callable[[list[str]], Iterable]) -> Iterator[None]:
         """For the time of the block, every piece of the documents has its result here."""
@@ -110,3 +83,81 @@ class Remembered(dict):
         for piece in new:
             if len(piece) > LONGEST_KEPT:
                 del self[piece]
+
+
+def taken(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``values`` one behind the other, and the end of each, with a 0 before the first."""
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return values[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)], ends
+
+
+class Numbered(defaultdict):
+    """Ids by piece, in two generations like :class:`Remembered`: a number for each piece, and one array of all ids.
+
+    A piece of a text costs one look-up, of its number; ids are then gathered for all texts at once.
+    """
+
+    def __init__(self, kind: np.dtype | str, generation: int = GENERATION):
+        super().__init__()
+        self.kind = np.dtype(kind)
+        self.generation = generation
+        self.old: dict[str, int] = {}
+        self.old_ids, self.old_ends = np.empty(0, self.kind), np.zeros(1, np.int64)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.clear()
+        self.default_factory = count().__next__
+        self.ids, self.ends = np.empty(0, self.kind), np.zeros(1, np.int64)
+
+    def ids_of(
+        self,
+        documents: Iterable[list[str]],
+        compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
+    ) -> Iterator[np.ndarray]:
+        """The ids of each document's pieces, one behind the other.
+
+        ``compute`` is asked once, for the pieces that neither generation holds. It
+        returns their ids one behind the other and how many each piece has.
+        """
+        before = len(self)
+        try:
+            numbered = [list(map(self.__getitem__, pieces)) for pieces in documents]
+            new = list(islice(reversed(self), len(self) - before))[::-1]
+            self._learn(new, compute)
+        except BaseException:
+            self._begin()  # pieces that were numbered have no ids
+            raise
+        sizes = np.fromiter(map(len, numbered), np.int64, len(numbered))
+        places = np.fromiter(chain.from_iterable(numbered), np.int64, sizes.sum())
+        starts = self.ends[places]
+        ids, ends = taken(self.ids, starts, self.ends[places + 1] - starts)
+        for piece in new:
+            if len(piece) > LONGEST_KEPT:
+                del self[piece]
+        if len(self) >= self.generation or len(self.ids) >= LONGEST_KEPT * self.generation:
+            self.old = dict(islice(self.items(), max(len(self) - self.generation, 0), None))
+            self.old_ids, self.old_ends = self.ids, self.ends
+            self._begin()
+        first = 0
+        for last in ends[np.cumsum(sizes)].tolist():
+            yield ids[first:last]
+            first = last
+
+    def _learn(self, new: list[str], compute: Callable) -> None:
+        if not new:
+            return
+        asked = [piece for piece in new if piece not in self.old]
+        ids, lengths = compute(asked)
+        numbers = np.fromiter((self.old.get(piece, -1) for piece in new), np.int64, len(new))
+        known = numbers >= 0
+        starts, sizes = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        starts[known] = self.old_ends[numbers[known]]
+        sizes[known] = self.old_ends[numbers[known] + 1] - starts[known]
+        starts[~known] = len(self.old_ids) + np.cumsum(lengths) - lengths
+        sizes[~known] = lengths
+        found, ends = taken(np.concatenate([self.old_ids, ids.astype(self.kind)]), starts, sizes)
+        self.ids, self.ends = (
+            np.concatenate([self.ids, found]),
+            np.concatenate([self.ends, self.ends[-1] + ends[1:]]),
+        )

@@ -453,3 +453,47 @@ def test_bpe_cuts_stable_text_as_the_pattern_does():
     for _ in range(3_000):
         text = "".join(rng.choices(common, k=rng.randrange(20)) + rng.choices(stable, k=rng.randrange(5)) + rng.choices(common, k=4))
         assert cut.findall(text) == whole.findall(text)
+
+
+def test_token_files_ask_the_library_once_for_each_word(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tallymart.llm.library_ids import LibraryIds
+
+    encoder, asked = LibraryIds(open(BPE, "rb").read()), []
+    ask = encoder._of
+    monkeypatch.setattr(encoder, "_of", lambda words: asked.extend(words) or ask(words))
+    texts = [f"w{'xyz'[k % 3]}, {'ab' * (k % 7)}{mark}<|endoftext|>\nof 漢{mark} " for k in range(50) for mark in ".,;!)"]
+    texts += ["", None, "  ", "x" * 200, "x" * 200]
+    library = Tokenizer.from_str(open(BPE, "rb").read().decode())
+    for kind in (np.dtype("<u2"), np.dtype("<u4")):
+        asked.clear()
+        for _ in range(2):
+            for text, ids in zip(texts, encoder.packed(pa.array(texts), kind), strict=True):
+                assert np.frombuffer(ids, kind).tolist() == library.encode(text or "", add_special_tokens=False).ids
+        short = [word for word in asked if len(word) <= 64]
+        assert len(short) == len(set(short)) < 40
+
+
+def test_numbered_ids_are_bounded_and_survive_errors():
+    import numpy as np
+
+    from tallymart.llm.chunks import Numbered
+
+    def ids(pieces):
+        parts = [[int(p.strip("x"))] * (len(p) % 4) for p in pieces]
+        return np.array([i for part in parts for i in part], np.int64), np.array([len(p) for p in parts], np.int64)
+
+    def fails(pieces):
+        raise ValueError("no ids")
+
+    rng, held = random.Random(31), Numbered("<u2", generation=50)
+    for step in range(60):
+        documents = [[f"{rng.randrange(200)}" + "x" * rng.choice([0, 1, 2, 70]) for _ in range(rng.randrange(9))] for _ in range(9)]
+        if step % 10 == 9:
+            with pytest.raises(ValueError):
+                list(held.ids_of([["9999", *documents[0]]], fails))
+        for document, found in zip(documents, held.ids_of(documents, ids), strict=True):
+            assert found.tolist() == ids(document)[0].tolist()
+        assert len(held) < 50 and len(held.old) <= 50 and not any(len(p) > 64 for p in held)
